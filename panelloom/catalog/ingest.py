@@ -100,7 +100,7 @@ def _any(words: tuple[str, ...]) -> str:
 WITH {_TEXT_ROWS},
 scored AS (
   SELECT file, row_idx, {' + '.join(_any(g) for g in sheets.HEADER_GROUPS)} AS score
-  FROM (SELECT file, row_idx, array_to_string(list_transform(cells, c -> {_CELL}), chr(10)) AS cell_text
+  FROM (SELECT file, row_idx, array_to_string(list_transform(cells, lambda c: {_CELL}), chr(10)) AS cell_text
         FROM sheet WHERE row_idx < 8))
 SELECT file, row_idx AS header_row, score AS header_score
 FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, row_idx) AS rn FROM scored) WHERE rn = 1
@@ -112,7 +112,7 @@ def detect_header(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 WITH {_TEXT_ROWS}
 SELECT file, CAST(coalesce(min(row_idx) FILTER (WHERE row_idx < 10 AND list_has_any(
-         list_transform(cells, c -> lower(trim(c))), ['the', 'der', 'le'])), 0) AS INTEGER) AS header_row
+         list_transform(cells, lambda c: lower(trim(c))), ['the', 'der', 'le'])), 0) AS INTEGER) AS header_row
 FROM sheet GROUP BY file
 """)
 def detect_header_exact(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,7 +20,7 @@ from .tables import cents, table
 
 def _hourly(spark: SparkSession, sf: str, key: str) -> DataFrame:
     line = table(spark, sf, "lineitem")
-    amount = cents("l_extendedprice").cast("double")
+    amount = F.floor("l_extendedprice").cast("double")
     grid = suppliers_placed(spark, sf).select(
         F.col("supplier").alias("l_suppkey"), F.col("cell").cast("string").alias(key)
     )
@@ -38,9 +38,9 @@ def _hourly(spark: SparkSession, sf: str, key: str) -> DataFrame:
 
 _HOURLY = """hourly AS (
   SELECT CAST(s_nationkey * 4 + s_suppkey % 4 AS VARCHAR) AS grid, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-         CAST(round(l_extendedprice * 100) AS DOUBLE) AS t2m, CASE WHEN l_returnflag = 'A' THEN l_quantity END AS tp,
+         CAST(floor(l_extendedprice) AS DOUBLE) AS t2m, CASE WHEN l_returnflag = 'A' THEN l_quantity END AS tp,
          l_quantity AS u10, CAST(l_linenumber AS DOUBLE) AS v10, l_quantity AS d2m,
-         CASE WHEN l_linestatus = 'O' THEN CAST(round(l_extendedprice * 100) AS DOUBLE) END AS msl
+         CASE WHEN l_linestatus = 'O' THEN CAST(floor(l_extendedprice) AS DOUBLE) END AS msl
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"""
 
 
@@ -182,13 +182,12 @@ sums AS (SELECT grid, date, avg(t2m) AS t, avg(d2m) AS d, sum(tp * 1000.0) AS tp
                 avg(v10) AS v10_mean FROM hourly GROUP BY ALL),
 cal AS (SELECT grid, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS date
         FROM (SELECT grid, min(date) AS lo, max(date) AS hi FROM hourly GROUP BY ALL))
-SELECT c.grid AS location, c.date AS month_start, round(t - 273.15, 3) AS "t2m_mean_C", round(d - 273.15, 3) AS "d2m_mean_C",
-       coalesce(tp, 0) AS tp_sum_mm, round(m / 100, 3) AS "msl_mean_hPa", u10_mean, v10_mean
+SELECT c.grid AS location, c.date AS month_start, round(t - 273.15, 5) AS "t2m_mean_C", round(d - 273.15, 5) AS "d2m_mean_C",
+       coalesce(tp, 0) AS tp_sum_mm, round(m / 100, 7) AS "msl_mean_hPa", u10_mean, v10_mean
 FROM cal c LEFT JOIN sums s ON s.grid = c.grid AND s.date = c.date
 """)
 def hourly_months(spark: SparkSession, sf: str) -> DataFrame:
     exported = hourly_export.export_months(_hourly(spark, sf, "location"))
     # Converted readings are no whole numbers: their sums depend on the order of rows.
-    return exported.withColumns(
-        {c: F.round(c, 3) for c in ("t2m_mean_C", "d2m_mean_C", "msl_mean_hPa")}
-    )
+    digits = {"t2m_mean_C": 5, "d2m_mean_C": 5, "msl_mean_hPa": 7}
+    return exported.withColumns({c: F.round(c, n) for c, n in digits.items()})

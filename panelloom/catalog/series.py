@@ -179,7 +179,7 @@ FROM cal c LEFT JOIN levels l ON l.supplier = c.supplier AND l.month = c.month
 """)
 def densify_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return calendar.densify(
-        tb.levels(spark, sf), ["supplier"], "month", bounds=("1996-01-01", "2002-12-01")
+        tb.levels(spark, sf), ["supplier"], "month", bounds=("1996-01-01", "2002-12-01"), rolled_up=True
     )
 
 
@@ -202,7 +202,7 @@ def fill_static(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.col("o_custkey").alias("customer"), month_start("o_orderdate").alias("month"))
         .agg(F.max(high).alias("grade"))
     )
-    dense = calendar.densify(known, ["customer"], "month")
+    dense = calendar.densify(known, ["customer"], "month", rolled_up=True)
     return calendar.fill_static(dense, "customer", "month", ["grade"])
 
 
@@ -241,7 +241,11 @@ SELECT supplier, month, level, filled AS interpolated FROM done
 def interpolate_linear(spark: SparkSession, sf: str) -> DataFrame:
     """Over a range wider than the data, so leading and trailing gaps occur."""
     dense = calendar.densify(
-        tb.thin_levels(spark, sf), ["supplier"], "month", bounds=("1994-06-01", "2002-06-01")
+        tb.thin_levels(spark, sf),
+        ["supplier"],
+        "month",
+        bounds=("1994-06-01", "2002-06-01"),
+        rolled_up=True,
     )
     return interpolate.interpolate_linear(dense, "supplier", step_number("month", "month"), "level")
 
@@ -292,7 +296,7 @@ def climatology_fill_keep(spark: SparkSession, sf: str) -> DataFrame:
     full = (
         tb.lines(spark, sf).groupBy("supplier", "month").agg(F.sum("cents").cast("double").alias("level"))
     )
-    dense = calendar.densify(full, ["supplier"], "month")
+    dense = calendar.densify(full, ["supplier"], "month", rolled_up=True)
     return impute.impute_climatology(dense, "supplier", "month", "level", on_complete="keep")
 
 

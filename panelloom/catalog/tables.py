@@ -103,15 +103,15 @@ SPENDING = """spending AS (
 
 
 def dense_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return densify(levels(spark, sf), ["supplier"], "month")
+    return densify(levels(spark, sf), ["supplier"], "month", rolled_up=True)
 
 
 def dense_thin(spark: SparkSession, sf: str) -> DataFrame:
-    return densify(thin_levels(spark, sf), ["supplier"], "month")
+    return densify(thin_levels(spark, sf), ["supplier"], "month", rolled_up=True)
 
 
 def dense_spending(spark: SparkSession, sf: str) -> DataFrame:
-    return densify(spending(spark, sf), ["customer"], "month")
+    return densify(spending(spark, sf), ["customer"], "month", rolled_up=True)
 
 
 def dense_sql(source: str, key: str, value: str, out: str) -> str:

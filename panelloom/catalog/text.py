@@ -34,7 +34,7 @@ def normalize_name(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 SELECT p_partkey, trim(' ' || p_name || '  ') AS name,
        array_to_string(list_transform(string_split(replace(lower(p_type || '_' || p_name), '_', ' '), ' '),
-         w -> upper(w[1]) || w[2:]), ' ') AS label
+         lambda w: upper(w[1]) || w[2:]), ' ') AS label
 FROM part
 """)
 def title_label(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +119,7 @@ def time_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT event_id, value + 1.0 * -273.15 AS celsius_like, value * 1000.0 + 0.0 AS millimetres,
-       round(CAST(round(value * 100) AS BIGINT) * 0.0001, 6) AS scaled
+       round(CAST(round(value * 100) AS BIGINT) * 0.0001::DOUBLE, 6) AS scaled
 FROM events
 """)
 def convert_units(spark: SparkSession, sf: str) -> DataFrame:

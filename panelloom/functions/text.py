@@ -14,7 +14,11 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import once
+
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
+# No character above this one decomposes or combines.
+_LAST_DECOMPOSING = 0x2FFFF
 
 
 @lru_cache(maxsize=1)
@@ -27,7 +31,7 @@ def _decomposition_tables() -> tuple[str, str, dict[str, str]]:
     single: list[tuple[str, str]] = []
     deleted: list[str] = []
     multi: dict[str, str] = {}
-    for code in range(0x80, 0x110000):
+    for code in range(0x80, _LAST_DECOMPOSING + 1):
         if _HANGUL_FIRST <= code <= _HANGUL_LAST or 0xD800 <= code <= 0xDFFF:
             continue
         char = chr(code)
@@ -66,35 +70,55 @@ def _expand_hangul(char: Column) -> Column:
 
 
 def strip_accents(value: Column | str) -> Column:
-    """Decompose every character and drop the combining marks."""
+    """Decompose every character and drop the combining marks.
+
+    ASCII text, the common case, pays for one scan; Latin letters for one more.
+    """
     text = F.col(value) if isinstance(value, str) else value
     source, target, multi = _decomposition_tables()
-    mapped = F.translate(text, source, target)
-    # One literal string parsed into a map keeps the plan small.
-    pairs = F.str_to_map(
-        F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in multi.items())),
-        F.lit("\x1e"),
-        F.lit("\x1f"),
-    )
+    long = "".join(multi)
+    # Cheap test first: below U+0250 only a handful of characters expand to several.
+    maybe = "[" + "".join(c for c in multi if c < "\u0250") + "\u0250-\U0010FFFF]"
 
-    def expand(char: Column) -> Column:
-        is_hangul = char.between(chr(_HANGUL_FIRST), chr(_HANGUL_LAST))
-        return F.when(is_hangul, _expand_hangul(char)).otherwise(
-            F.coalesce(F.try_element_at(pairs, char), char)
+    def expand(mapped: Column) -> Column:
+        has_multi = mapped.rlike(maybe) & (
+            (F.translate(mapped, long, "") != mapped) | mapped.rlike("[가-힣]")
+        )
+        # One literal string parsed into a map keeps the plan small.
+        pairs = F.str_to_map(
+            F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in multi.items())),
+            F.lit("\x1e"),
+            F.lit("\x1f"),
         )
 
-    has_multi = mapped.rlike("[" + "".join(multi) + "가-힣]")
-    expanded = F.array_join(F.transform(F.split(mapped, ""), expand), "")
-    stripped = F.when(has_multi, expanded).otherwise(mapped)
-    # Plain ASCII, the common case, pays for one scan only.
+        def letters(char: Column) -> Column:
+            is_hangul = char.between(chr(_HANGUL_FIRST), chr(_HANGUL_LAST))
+            listed = F.contains(F.lit(long), char)
+            return (
+                F.when(is_hangul, _expand_hangul(char))
+                .when(listed, F.try_element_at(pairs, char))
+                .otherwise(char)
+            )
+
+        return F.when(
+            has_multi, F.array_join(F.transform(F.split(mapped, ""), letters), "")
+        ).otherwise(mapped)
+
+    stripped = once(F.translate(text, source, target), expand)
     return F.when(text.rlike("[^\\x00-\\x7F]"), stripped).otherwise(text)
 
 
+def plain_words(value: Column | str, keep: str = "") -> Column:
+    """Accent-free lower case with everything but letters, digits and ``keep`` as blanks."""
+    plain = F.lower(strip_accents(value))
+    return F.regexp_replace(
+        F.replace(plain, F.lit("&"), F.lit(" and ")), f"[^a-z0-9{keep}]+", " "
+    )
+
+
 def normalize_text(value: Column | str) -> Column:
     """Accent-free lower-case words separated by single blanks; NULL gives ''."""
-    plain = F.lower(strip_accents(value))
-    words = F.regexp_replace(F.replace(plain, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")
-    return F.coalesce(F.trim(words), F.lit(""))
+    return F.coalesce(F.trim(plain_words(value)), F.lit(""))
 
 
 def normalize_name(value: Column | str) -> Column:

@@ -88,7 +88,7 @@ def rollup_dense(
     """
     converted = convert_units(df, units or {})
     rolled = rollup_sparse(converted, keys, t, rules, grain=grain, out_t=out_t)
-    dense = densify(rolled, keys, out_t, grain=grain)
+    dense = densify(rolled, keys, out_t, grain=grain, rolled_up=True)
     sums = [out for out, (column, how) in rules.items() if how == "sum" and out in rolled.columns]
     return dense.withColumns({c: F.coalesce(c, F.lit(0)) for c in sums})
 

@@ -19,20 +19,29 @@ def calendar(
     t: str,
     grain: str = "month",
     bounds: tuple[str, str] | None = None,
+    rolled_up: bool = False,
 ) -> DataFrame:
     """``(keys, t)``: every period from each entity's first to its last.
 
     With ``bounds`` (two dates, both included) all entities get that range.
+
+    ``rolled_up`` says that ``df`` is the result of an aggregate.  The spans then
+    mention its measures too: with the same columns asked for, Spark takes them
+    from the shuffle of that aggregate instead of reading its source once more.
     """
     dated = df.where(F.col(t).isNotNull())
+    measures = [c for c in df.columns if c not in (*keys, t)] if rolled_up else []
+    seen = [F.count(c).alias(f"_n{i}") for i, c in enumerate(measures)]
     if bounds is None:
         step = step_number(t, grain)
-        spans = dated.groupBy(*keys).agg(F.min(step).alias("lo"), F.max(step).alias("hi"))
+        lo, hi = F.min(step), F.max(step)
     else:
-        lo, hi = (step_number(F.lit(b).cast("date"), grain) for b in bounds)
+        lo, hi = (F.max(step_number(F.lit(b).cast("date"), grain)) for b in bounds)
         if grain == "hour":
             hi = hi + 23
-        spans = dated.select(*keys).distinct().select(*keys, lo.alias("lo"), hi.alias("hi"))
+    spans = dated.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"), *seen)
+    for i in range(len(seen)):
+        spans = spans.where(F.col(f"_n{i}") >= 0)
     size = F.lit(CALENDAR_BLOCK).cast("long")
     blocks = spans.select(
         *keys,
@@ -54,13 +63,15 @@ def densify(
     t: str,
     grain: str = "month",
     bounds: tuple[str, str] | None = None,
+    rolled_up: bool = False,
 ) -> DataFrame:
     """One row per entity and period; periods without a row get NULL measures.
 
     ``t`` must already be truncated to the grain.  The join is on entity *and*
-    time, so a long series spreads over all tasks.
+    time, so a long series spreads over all tasks.  Pass ``rolled_up=True`` when
+    ``df`` comes straight from an aggregate (see :func:`calendar`).
     """
-    full = calendar(df, keys, t, grain, bounds)
+    full = calendar(df, keys, t, grain, bounds, rolled_up)
     return full.join(df, [*keys, t], "left").select(*df.columns)
 
 

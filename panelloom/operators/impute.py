@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.steps import step_number
-from .aggregates import bias_factor, climatology, percent_filled
+from .aggregates import bias_factor, percent_filled
 from .interpolate import BLOCK_STEPS, interpolate_linear
 from .shape import fill_flag, fill_from
 
@@ -75,20 +75,21 @@ def impute_climatology(
     """
     if on_complete not in ("skip", "keep"):
         raise ValueError(f"unknown on_complete {on_complete!r}")
-    seasons = climatology(dense, key, t, value)
-    filled = (
-        dense.withColumn("calendar_month", F.month(t))
-        .join(seasons, [key, "calendar_month"], "left")
-        .withColumn("_filled", F.coalesce(value, "climatology"))
-        .drop("calendar_month", "climatology")
+    missing = F.count_if(F.col(value).isNull())
+    seasons = dense.groupBy(key, F.month(t).alias("calendar_month")).agg(
+        F.avg(value).alias("_mean"), missing.alias("_missing")
     )
+    # At most twelve rows per entity: summing them here spares a second pass.
+    seasons = seasons.withColumn("_gaps", F.sum("_missing").over(Window.partitionBy(key)))
+    filled = dense.withColumn("calendar_month", F.month(t)).join(
+        seasons.drop("_missing"), [key, "calendar_month"], "left"
+    )
+    if on_complete == "skip":
+        filled = filled.where(F.col("_gaps") > 0)
+    filled = filled.select(*dense.columns, F.coalesce(value, "_mean").alias("_filled"))
     out = f"{value}_imputed"
     result = interpolate_linear(filled, key, step_number(t, "month"), "_filled", out, block_steps)
-    result = result.select(*dense.columns, out)
-    if on_complete == "skip":
-        gappy = dense.groupBy(key).agg(F.count_if(F.col(value).isNull()).alias("_n")).where("_n > 0")
-        result = result.join(gappy.select(key), key, "left_semi")
-    return result
+    return result.select(*dense.columns, out)
 
 
 def imputation_summary(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import once
 from ..functions.text import normalize_text
 
 PREFIX = 3
@@ -19,13 +20,16 @@ def canonical_name(value: Column | str, aliases: Sequence[tuple[str, str]]) -> C
     in the normalised name; otherwise NULL.  The list is part of the query, so
     this is an expression: no join, no shuffle.
     """
-    name = normalize_text(value)
     table = F.array(
         *[F.struct(F.lit(a).alias("alias"), F.lit(e).alias("entity")) for a, e in aliases]
     )
-    exact = F.filter(table, lambda p: p["alias"] == name)
-    inside = F.filter(table, lambda p: F.contains(name, p["alias"]))
-    return F.coalesce(F.get(exact, F.lit(0))["entity"], F.get(inside, F.lit(0))["entity"])
+
+    def match(name: Column) -> Column:
+        exact = F.filter(table, lambda p: p["alias"] == name)
+        inside = F.filter(table, lambda p: F.contains(name, p["alias"]))
+        return F.coalesce(F.get(exact, F.lit(0))["entity"], F.get(inside, F.lit(0))["entity"])
+
+    return once(normalize_text(value), match)
 
 
 def canonicalize(

@@ -44,7 +44,7 @@ def class_fraction(
     sums = df.groupBy(key, month_start(t).alias("date")).agg(
         total(F.col(cls) == WET).alias("_wet"), total(F.col(cls) >= DRY).alias("_valid")
     )
-    dense = densify(sums, [key], "date", "month", bounds)
+    dense = densify(sums, [key], "date", "month", bounds, rolled_up=True)
     share = F.when(
         F.col("_valid") > 0,
         F.round(F.try_divide(F.col("_wet").cast("double"), F.col("_valid").cast("double")), 6),
@@ -71,7 +71,7 @@ def monthly_index(
 ) -> DataFrame:
     """Scaled monthly mean of composites over a fixed range; NULL where there is none."""
     means = df.groupBy(key, month_start(t).alias("date")).agg(F.avg(raw).alias("_raw"))
-    dense = densify(means, [key], "date", "month", bounds)
+    dense = densify(means, [key], "date", "month", bounds, rolled_up=True)
     return with_year_month(dense, "date").select(
         key, "year", "month", scale_round("_raw", scale).alias(out)
     )

@@ -44,7 +44,7 @@ def dense_levels(
         "river", "Date", "row_idx", *STATIC, "haut_moy"
     )
     unique = dedup_first(dated, ["river", "Date"], ["row_idx"]).drop("row_idx")
-    return fill_static(densify(unique, ["river"], "Date"), "river", "Date", STATIC)
+    return fill_static(densify(unique, ["river"], "Date", rolled_up=True), "river", "Date", STATIC)
 
 
 def fill_levels(dense: DataFrame, on_complete: str = "skip") -> DataFrame:

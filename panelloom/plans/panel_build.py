@@ -170,7 +170,7 @@ def assemble(
     :func:`hourly_months`.  Fine readings are rolled up before any join, and
     every join is on (entity, month) keys that are unique on the right.
     """
-    panel = with_year_month(densify(levels, ["river"], "date"), "date")
+    panel = with_year_month(densify(levels, ["river"], "date", rolled_up=True), "date")
     panel = attach(panel, runoff.select("river", "date", "runoff"), ["river", "date"])
     sources = rivers.select("river", F.col("cell").alias("era5_grid"))
     for label, (observed, stations), measures in (

@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_name, normalize_text
+from ..functions.binding import once
+from ..functions.text import normalize_name, plain_words
 
 # What marks a header row, one group per expected column.
 HEADER_GROUPS = (
@@ -25,6 +26,8 @@ HEADER_ROWS_SCORED = 8
 HEADER_NAMES_EXACT = ("year", "yy")
 HEADER_ROWS_EXACT = 10
 
+_CELL_MARK = "\x1e"
+
 # Column names that mean the same.
 COLUMN_SYNONYMS = {
     "Station_Name": ("station_name", "name"),
@@ -72,19 +75,20 @@ def read_sheet_rows(spark: SparkSession, paths: str | Sequence[str], width: int)
 def header_score(cells: Column | str, groups: Sequence[Sequence[str]] = HEADER_GROUPS) -> Column:
     """How many keyword groups have a keyword inside any cell."""
     cells = F.col(cells) if isinstance(cells, str) else cells
-    # Normalised cells hold no line break, so no keyword can match across two of them.
-    joined = F.array_join(F.transform(cells, normalize_text), "\n")
+    # The row is normalised as one text in which the mark between cells survives, so
+    # no keyword can match across two of them.
+    joined = plain_words(F.array_join(cells, _CELL_MARK), _CELL_MARK)
 
-    def hit(keywords: Sequence[str]) -> Column:
-        found = F.lit(False)
-        for word in keywords:
-            found = found | F.contains(joined, F.lit(word))
-        return found.cast("int")
+    def score(text: Column) -> Column:
+        total = F.lit(0)
+        for group in groups:
+            hit = F.lit(False)
+            for word in group:
+                hit = hit | F.contains(text, F.lit(word))
+            total = total + hit.cast("int")
+        return total
 
-    score = F.lit(0)
-    for group in groups:
-        score = score + hit(group)
-    return score
+    return once(joined, score)
 
 
 def detect_header(
@@ -122,18 +126,21 @@ def detect_header_exact(
 
 def _column_names(cells: Column) -> Column:
     """Normalised header cells: blanks become ``unnamed_<i>``, repeats get ``_1``, ``_2``…"""
-    raw = F.transform(
+    filled = F.transform(
         cells,
         lambda c, i: F.when(
             c.isNull() | (F.trim(c) == ""), F.concat(F.lit("Unnamed: "), i.cast("string"))
         ).otherwise(c),
     )
 
-    def distinct_name(c: Column, i: Column) -> Column:
-        earlier = F.size(F.filter(F.slice(raw, F.lit(1), i), lambda x: x == c))
-        return F.when(earlier > 0, F.concat(c, F.lit("."), earlier.cast("string"))).otherwise(c)
+    def numbered(raw: Column) -> Column:
+        def name(c: Column, i: Column) -> Column:
+            earlier = F.size(F.filter(F.slice(raw, F.lit(1), i), lambda x: x == c))
+            return F.when(earlier > 0, F.concat(c, F.lit("."), earlier.cast("string"))).otherwise(c)
+
+        return F.transform(raw, name)
 
-    return F.transform(F.transform(raw, distinct_name), normalize_name)
+    return F.transform(once(filled, numbered), normalize_name)
 
 
 def headers(rows: DataFrame, header_rows: DataFrame) -> DataFrame:
