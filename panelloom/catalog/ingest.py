@@ -271,11 +271,12 @@ FROM dense d LEFT JOIN supplier s ON s.s_suppkey = d.supplier
 LEFT JOIN modelled m ON m.nation = s.s_nationkey AND m.month = d.month
 """)
 def attach_mapped(spark: SparkSession, sf: str) -> DataFrame:
-    home = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation")
-    )
     joined = attach_via(
-        tb.dense_levels(spark, sf), "supplier", home, tb.modelled(spark, sf), ["nation", "month"]
+        tb.dense_levels(spark, sf),
+        "supplier",
+        tb.homes(spark, sf),
+        tb.modelled(spark, sf),
+        ["nation", "month"],
     )
     return joined.select("supplier", "month", "level", "nation", "model")
 

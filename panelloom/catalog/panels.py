@@ -18,14 +18,14 @@ from .registry import query
 from .tables import cents, table
 
 
+# A supplier's grid cell; far more cells than suppliers, so some hold no station.
+CELLS = 997
+
+
 def _hourly(spark: SparkSession, sf: str, key: str) -> DataFrame:
-    line = table(spark, sf, "lineitem")
     amount = F.floor("l_extendedprice").cast("double")
-    grid = suppliers_placed(spark, sf).select(
-        F.col("supplier").alias("l_suppkey"), F.col("cell").cast("string").alias(key)
-    )
-    return line.join(grid, "l_suppkey").select(
-        key,
+    return table(spark, sf, "lineitem").select(
+        F.pmod("l_suppkey", F.lit(CELLS)).cast("string").alias(key),
         F.col("l_shipdate").alias("timestamp"),
         amount.alias("t2m"),
         F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).alias("tp"),
@@ -36,12 +36,12 @@ def _hourly(spark: SparkSession, sf: str, key: str) -> DataFrame:
     )
 
 
-_HOURLY = """hourly AS (
-  SELECT CAST(s_nationkey * 4 + s_suppkey % 4 AS VARCHAR) AS grid, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+_HOURLY = f"""hourly AS (
+  SELECT CAST(l_suppkey % {CELLS} AS VARCHAR) AS grid, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
          CAST(floor(l_extendedprice) AS DOUBLE) AS t2m, CASE WHEN l_returnflag = 'A' THEN l_quantity END AS tp,
          l_quantity AS u10, CAST(l_linenumber AS DOUBLE) AS v10, l_quantity AS d2m,
          CASE WHEN l_linestatus = 'O' THEN CAST(floor(l_extendedprice) AS DOUBLE) END AS msl
-  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"""
+  FROM lineitem)"""
 
 
 def _panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -55,13 +55,15 @@ def _panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         .agg(F.sum(F.when(F.col("flag") == "N", F.col("cents"))).cast("double").alias("runoff"))
         .select(river, F.col("month").alias("date"), "runoff")
     )
-    rivers = suppliers_placed(spark, sf).select(river, "lat", "lon", F.col("cell").cast("string").alias("cell"))
+    cell = lambda c: F.pmod(c, F.lit(CELLS)).cast("string")
+    rivers = suppliers_placed(spark, sf).select(river, "lat", "lon", cell("supplier").alias("cell"))
     stations = customers_placed(spark, sf).select(
         F.col("customer").cast("string").alias("station_key"),
         F.col("label").alias("station_name_raw"),
         "lat",
         "lon",
-        F.col("cell").cast("string").alias("cell"),
+        # Stations of some nations are on no known cell.
+        F.when(F.floor(F.col("cell") / 4) < 15, cell("customer")).alias("cell"),
     )
     done = F.when(F.col("o_orderstatus") == "F", cents("o_totalprice"))
     observed = (
@@ -92,10 +94,10 @@ monthly AS (
   FROM hourly GROUP BY ALL),
 runoff AS (SELECT supplier, month, CAST(sum(CASE WHEN flag = 'N' THEN cents END) AS DOUBLE) AS runoff FROM lines GROUP BY ALL),
 rivers AS (
-  SELECT s_suppkey AS supplier, s_nationkey * 4 + s_suppkey % 4 AS cell,
+  SELECT s_suppkey AS supplier, s_suppkey % {CELLS} AS cell,
          CAST(floor(s_acctbal / 100) AS DOUBLE) AS lat, CAST(s_suppkey % 180 AS DOUBLE) AS lon FROM supplier),
 stations AS (
-  SELECT c_custkey AS customer, c_name AS label, c_nationkey * 4 + c_custkey % 4 AS cell,
+  SELECT c_custkey AS customer, c_name AS label, CASE WHEN c_nationkey < 15 THEN c_custkey % {CELLS} END AS cell,
          CAST(floor(c_acctbal / 100) AS DOUBLE) AS lat, CAST(c_custkey % 180 AS DOUBLE) AS lon FROM customer),
 candidates AS (
   SELECT r.supplier, s.customer, s.label, 'same_era5_grid' AS mode,
@@ -104,7 +106,7 @@ candidates AS (
   UNION ALL
   SELECT r.supplier, s.customer, s.label, 'nearest_fallback',
          sqrt((r.lat - s.lat) * (r.lat - s.lat) + (r.lon - s.lon) * (r.lon - s.lon))
-  FROM rivers r, stations s WHERE r.cell NOT IN (SELECT cell FROM stations)),
+  FROM rivers r, stations s WHERE r.cell NOT IN (SELECT cell FROM stations WHERE cell IS NOT NULL)),
 choice AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY dist, label, CAST(customer AS VARCHAR)) AS rn
                  FROM candidates) WHERE rn = 1),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.steps import month_start
 from ..operators.calendar import densify
+from ..operators.shape import attach_via
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,7 +25,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def cents(amount: str) -> Column:
-    return F.round(F.col(amount) * 100).cast("long")
+    # rint stays a primitive operation; round goes through big decimals for every row.
+    return F.rint(F.col(amount) * 100).cast("long")
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,16 +130,20 @@ DENSE_THIN = THIN + dense_sql("thin", "supplier", "level", "dense")
 DENSE_SPENDING = SPENDING + dense_sql("spending", "customer", "spent", "dense")
 
 
-def modelled(spark: SparkSession, sf: str) -> DataFrame:
-    accepted = F.when(F.col("flag") == "A", F.col("cents"))
-    home = table(spark, sf, "supplier").select(
+def homes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation")
     )
+
+
+def modelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Summed per supplier first, so that months and not line items meet the nations."""
+    accepted = F.when(F.col("flag") == "A", F.col("cents"))
+    months = lines(spark, sf).groupBy("supplier", "month").agg(F.sum(accepted).alias("accepted"))
     return (
-        lines(spark, sf)
-        .join(home, "supplier")
+        months.join(homes(spark, sf), "supplier")
         .groupBy("nation", "month")
-        .agg(F.sum(accepted).cast("double").alias("model"))
+        .agg(F.sum("accepted").cast("double").alias("model"))
     )
 
 
@@ -149,13 +155,8 @@ MODELLED = """modelled AS (
 
 def with_model(spark: SparkSession, sf: str) -> DataFrame:
     """Dense levels with the nation's modelled value, as ``(supplier, month, level, nation, model)``."""
-    from ..operators.shape import attach_via
-
-    home = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation")
-    )
     joined = attach_via(
-        dense_thin(spark, sf), "supplier", home, modelled(spark, sf), ["nation", "month"]
+        dense_thin(spark, sf), "supplier", homes(spark, sf), modelled(spark, sf), ["nation", "month"]
     )
     return joined.select("supplier", "month", "level", "nation", "model")
 

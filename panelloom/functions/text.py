@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 
 from .binding import once
 
+# Every white-space character.
+_WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
 # No character above this one decomposes or combines.
 _LAST_DECOMPOSING = 0x2FFFF
@@ -133,6 +140,6 @@ def title_label(value: Column | str) -> Column:
 
 
 def strip_space(value: Column | str) -> Column:
-    """Drop white space of any kind at both ends (``trim`` drops blanks only)."""
+    """Drop white space of any kind at both ends (plain ``trim`` drops blanks only)."""
     text = F.col(value) if isinstance(value, str) else value
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(_WHITE_SPACE))

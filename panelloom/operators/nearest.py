@@ -12,6 +12,7 @@ from ..functions.numbers import planar_distance
 
 SAME_CELL, FALLBACK = "same_era5_grid", "nearest_fallback"
 CHUNK = 20_000
+FEW_STATIONS = 64
 
 _FOUND = ["entity", "station", "name", "slat", "slon", "elat", "elon", "g"]
 
@@ -36,9 +37,11 @@ def nearest_join(
     them; least distance wins, then the smallest ``name`` (default: the station
     id), then the smallest id.
 
-    Both sides of a cell are cut into chunks of about ``chunk`` rows and a task
-    searches one chunk against another.  Entities are copied once per station
-    chunk: pairs exist only as array cells inside a task, however full a cell is.
+    Both sides of a cell are cut into chunks of about ``chunk`` rows, and chunks
+    meet each other on (cell, chunk, chunk), so a full cell spreads over many
+    tasks.  Where an entity has few stations to look at, that is a plain join.
+    Else a task searches one chunk against another, and pairs exist only as
+    array cells inside it: entities are copied once per station chunk.
     """
     name = name or station
     # Keys of the search groups: one per cell, and one of all stations.
@@ -75,15 +78,16 @@ def nearest_join(
         "g",
         F.ceil(F.col("n_left") / chunk).alias("n_a"),
         F.ceil(F.col("n_right") / chunk).alias("n_b"),
+        (F.col("n_right") <= FEW_STATIONS).alias("few"),
     )
     last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     left = left.join(sizes, "g").select(
-        "g", "entity", "elat", "elon",
+        "g", "few", "entity", "elat", "elon",
         F.pmod(F.xxhash64("entity"), F.col("n_a")).alias("a"),
         F.explode(last("n_b")).alias("b"),
     )
     right = right.join(sizes, "g").select(
-        "g", "station", "name", "slat", "slon",
+        "g", "few", "station", "name", "slat", "slon",
         F.pmod(F.xxhash64("station"), F.col("n_b")).alias("b"),
         F.explode(last("n_a")).alias("a"),
     )
@@ -99,11 +103,19 @@ def nearest_join(
             T.StructField("g", T.StringType()),
         ]
     )
-    found = (
-        left.groupBy("g", "a", "b")
-        .cogroup(right.groupBy("g", "a", "b"))
+    chunks = ["g", "a", "b"]
+    few, many = F.col("few"), ~F.col("few")
+    joined = (
+        left.where(few).drop("few").join(right.where(few).drop("few"), chunks).select(*_FOUND)
+    )
+    searched = (
+        left.where(many)
+        .drop("few")
+        .groupBy(*chunks)
+        .cogroup(right.where(many).drop("few").groupBy(*chunks))
         .applyInPandas(_nearest_in_chunk, schema)
     )
+    found = joined.unionByName(searched)
     distance = planar_distance(F.col("elat"), F.col("elon"), F.col("slat"), F.col("slon"))
     best = (
         found.withColumn("distance_deg", distance)

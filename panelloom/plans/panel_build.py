@@ -13,9 +13,9 @@ from ..functions.text import normalize_name, normalize_text
 from ..operators.aggregates import first_non_null, rollup_sparse
 from ..operators.calendar import densify, with_year_month
 from ..operators.names import canonical_name
-from ..operators.nearest import attach_nearest, nearest_join, source_coverage
+from ..operators.nearest import nearest_join, source_coverage
 from ..operators.quality import check_complete, check_unique, require_empty
-from ..operators.shape import attach, attach_via, map_values, unpivot
+from ..operators.shape import attach, map_values, unpivot
 from ..sinks.write import manifest, write_panel, write_per_entity
 from ..sources import sheets
 from . import fixed_values as fv
@@ -167,41 +167,35 @@ def assemble(
 
     ``rivers`` has ``river, lat, lon, cell``; ``temperature`` and
     ``precipitation`` are (observations, stations); ``monthly`` is
-    :func:`hourly_months`.  Fine readings are rolled up before any join, and
-    every join is on (entity, month) keys that are unique on the right.
+    :func:`hourly_months`.  Fine readings are rolled up before any join.  What
+    belongs to a river as a whole (its stations, its grid) is gathered in one
+    row each and joined once; the readings then meet on keys unique on the right.
     """
-    panel = with_year_month(densify(levels, ["river"], "date", rolled_up=True), "date")
-    panel = attach(panel, runoff.select("river", "date", "runoff"), ["river", "date"])
     sources = rivers.select("river", F.col("cell").alias("era5_grid"))
-    for label, (observed, stations), measures in (
-        ("temp", temperature, ["temp_max_observed", "temp_min_observed"]),
-        ("precip", precipitation, ["precip_observed"]),
-    ):
-        choices = nearest_join(
-            rivers, stations, "river", "station_key", name="station_name_raw"
-        )
-        panel = attach_nearest(
-            panel,
-            choices,
-            observed,
-            key="river",
-            t="date",
-            station="station_key",
-            measures=measures,
-            source=stations,
-            source_name="station_name_raw",
-            out_source=f"{label}_source",
-        )
+    for label, (_, stations) in (("temp", temperature), ("precip", precipitation)):
+        choices = nearest_join(rivers, stations, "river", "station_key", name="station_name_raw")
         named = choices.join(stations.select("station_key", "station_name_raw"), "station_key").select(
             "river",
+            F.col("station_key").alias(f"_{label}_station"),
             F.col("station_name_raw").alias(f"{label}_source"),
             F.col("distance_deg").alias(f"{label}_distance_deg"),
             F.col("selection_mode").alias(f"{label}_mode"),
         )
         sources = sources.join(named, "river", "left")
-    link = rivers.select("river", F.col("cell").alias("era5_grid"))
-    panel = attach_via(panel, "river", link, monthly, ["era5_grid", "date"])
-    return panel.select(*fv.PANEL_COLUMNS), sources
+
+    panel = with_year_month(densify(levels, ["river"], "date", rolled_up=True), "date")
+    panel = attach(panel, runoff.select("river", "date", "runoff"), ["river", "date"])
+    links = ["_temp_station", "temp_source", "_precip_station", "precip_source", "era5_grid"]
+    panel = panel.join(sources.select("river", *links), "river", "left")
+    for label, (observed, _), measures in (
+        ("temp", temperature, ["temp_max_observed", "temp_min_observed"]),
+        ("precip", precipitation, ["precip_observed"]),
+    ):
+        station = F.col("station_key").alias(f"_{label}_station")
+        readings = observed.select(station, "date", *measures)
+        panel = attach(panel, readings, [f"_{label}_station", "date"])
+    panel = attach(panel, monthly, ["era5_grid", "date"])
+    return panel.select(*fv.PANEL_COLUMNS), sources.drop("_temp_station", "_precip_station")
 
 
 def coverage_report(panel: DataFrame, sources: DataFrame) -> DataFrame:
