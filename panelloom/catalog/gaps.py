@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.steps import step_number
-from ..operators import features, gaps, interpolate, reduce
+from ..operators import features, gaps, reduce
 from ..operators.aggregates import climatology
 from . import tables as tb
 from .registry import query
@@ -98,14 +97,12 @@ _FINAL_COLUMNS += ["fill_method", "fill_source", "fill_confidence"]
 
 def _final(spark: SparkSession, sf: str) -> DataFrame:
     dense = tb.dense_spending(spark, sf)
-    line = interpolate.interpolate_linear(
-        dense, "customer", step_number("month", "month"), "spent", "on_line"
-    )
     seasons = climatology(dense, "customer", "month", "spent", "seasonal")
-    offered = line.withColumn("calendar_month", F.month("month")).join(
+    offered = dense.withColumn("calendar_month", F.month("month")).join(
         seasons, ["customer", "calendar_month"], "left"
     )
-    ruled = gaps.apply_policy(gaps.gap_rows(offered, "customer", "month", "spent"), POLICY)
+    rows = gaps.gap_rows(offered, "customer", "month", "spent", line="on_line")
+    ruled = gaps.apply_policy(rows, POLICY)
     methods = {"linear_interpolation": "on_line", "seasonal_mean": "seasonal"}
     return gaps.finalise(ruled, "spent", methods).select(*_FINAL_COLUMNS)
 

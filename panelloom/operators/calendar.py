@@ -40,8 +40,8 @@ def calendar(
         if grain == "hour":
             hi = hi + 23
     spans = dated.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"), *seen)
-    for i in range(len(seen)):
-        spans = spans.where(F.col(f"_n{i}") >= 0)
+    if seen:
+        spans = spans.where(" and ".join(f"_n{i} >= 0" for i in range(len(seen))))
     size = F.lit(CALENDAR_BLOCK).cast("long")
     blocks = spans.select(
         *keys,

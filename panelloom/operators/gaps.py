@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.steps import step_number, step_start
-from .interpolate import BLOCK_STEPS, with_neighbours
+from .interpolate import BLOCK_STEPS, on_the_line, with_neighbours
 
 INTERNAL, EDGE = "internal", "edge"
 GAP_COLUMNS = ("gap_id", "gap_length", "gap_position", "gap_start", "gap_end")
@@ -18,12 +18,20 @@ PENDING = "manual_review_pending"
 
 
 def gap_rows(
-    df: DataFrame, key: str, t: str, value: str, grain: str = "month", block_steps: int = BLOCK_STEPS
+    df: DataFrame,
+    key: str,
+    t: str,
+    value: str,
+    grain: str = "month",
+    line: str | None = None,
+    block_steps: int = BLOCK_STEPS,
 ) -> DataFrame:
     """Every row of a dense series with the gap it lies in (NULL outside gaps).
 
     The known neighbours of a row give its gap's ends, so nothing is grouped.
     A gap is ``internal`` when values exist on both sides, else ``edge``.
+    ``line`` names a column for the linear interpolation, which needs the same
+    neighbours.
     """
     found = with_neighbours(
         df.withColumn("_step", step_number(t, grain)), key, "_step", value, block_steps
@@ -34,8 +42,10 @@ def gap_rows(
     inside = F.col("prev_step").isNotNull() & F.col("next_step").isNotNull()
     first = step_start(start, grain)
     name = F.concat_ws(":", F.col(key).cast("string"), first.cast("string"))
+    extra = [on_the_line(value, "_step").alias(line)] if line else []
     return found.select(
         *df.columns,
+        *extra,
         F.when(missing, name).alias("gap_id"),
         F.when(missing, end - start + 1).alias("gap_length"),
         F.when(missing, F.when(inside, INTERNAL).otherwise(EDGE)).alias("gap_position"),
