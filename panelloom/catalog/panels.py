@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.steps import month_start
 from ..plans import climate_fill, hourly_export, panel_build
 from ..plans import fixed_values as fv
+from ..plans.settle import settle
 from . import tables as tb
 from .matching import customers_placed, suppliers_placed
 from .registry import query
@@ -162,9 +163,13 @@ filled AS (
   FROM panel p LEFT JOIN factors f ON f.river = p.river)"""
 
 
+def _filled(spark: SparkSession, sf: str) -> DataFrame:
+    return climate_fill.fill_climate(settle(_panel(spark, sf)[0], "panel"))
+
+
 @query(f"WITH {_FILLED} SELECT * FROM filled")
 def climate_filled_panel(spark: SparkSession, sf: str) -> DataFrame:
-    filled = climate_fill.fill_climate(_panel(spark, sf)[0])
+    filled = _filled(spark, sf)
     return filled.select("river", "date", *[c for c in filled.columns if c not in fv.PANEL_COLUMNS])
 
 
@@ -175,7 +180,7 @@ SELECT river, count(*) AS n_total, count(*) FILTER (WHERE temp_max_imputed) AS t
 FROM filled GROUP BY ALL
 """)
 def climate_fill_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return climate_fill.summary(climate_fill.fill_climate(_panel(spark, sf)[0]))
+    return climate_fill.summary(_filled(spark, sf))
 
 
 @query(f"""

@@ -19,6 +19,7 @@ from ..operators.shape import attach, map_values, unpivot
 from ..sinks.write import manifest, write_panel, write_per_entity
 from ..sources import sheets
 from . import fixed_values as fv
+from .settle import settle
 
 YEAR, MONTH, NAME = ("year", "yy"), ("month", "mm"), ("station_name", "name")
 
@@ -30,6 +31,7 @@ def read_sheets(
 
     ``measures`` maps each output to the tokens its column name must hold.  A
     sheet that lacks a column stops the job, unless the column is ``optional``.
+    The rows are written once and read back.
     """
     header = sheets.headers(rows, sheets.detect_header(rows))
     at = {
@@ -56,7 +58,8 @@ def read_sheets(
         F.trim(sheets.cell("cells", "_name")).alias("station_name_raw"),
         *[c.alias(n) for n, c in numbers.items()],
     )
-    return monthly_date(read, "yy", "mm").drop("yy", "mm", "year", "month")
+    # Everything later reads these rows several times: keep them, not the sheets.
+    return settle(monthly_date(read, "yy", "mm").drop("yy", "mm", "year", "month"), "sheets")
 
 
 def river_levels(

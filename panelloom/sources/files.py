@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def file_name() -> Column:
+    """Name of the file a row was read from, as it is on disk.
+
+    Spark reports names as URL parts, but with a plus sign left as it is.
+    """
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_series(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -39,10 +47,10 @@ def read_series(
         if found != expect_files:
             raise FileNotFoundError(f"expected {expect_files} file(s) for {paths}, found {found}")
     if exclude_regex is not None:
-        df = df.where(~F.col("_metadata.file_name").rlike(exclude_regex))
+        df = df.where(~file_name().rlike(exclude_regex))
     wanted = [F.col(c) for c in (columns or df.columns)]
     if key_regex is not None:
-        wanted.insert(0, F.regexp_extract("_metadata.file_name", key_regex, 1).alias(key))
+        wanted.insert(0, F.regexp_extract(file_name(), key_regex, 1).alias(key))
     return df.select(*wanted)
 
 

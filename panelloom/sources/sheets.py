@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import once
 from ..functions.text import normalize_name, plain_words
+from .files import file_name
 
 # What marks a header row, one group per expected column.
 HEADER_GROUPS = (
@@ -54,7 +55,7 @@ def read_sheet_rows(spark: SparkSession, paths: str | Sequence[str], width: int)
         .schema(", ".join(f"{n} string" for n in names))
         .csv(list(paths) if not isinstance(paths, str) else paths)
         .select(
-            F.col("_metadata.file_name").alias("file"),
+            file_name().alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("seen"),
             F.array(*names).alias("cells"),
