@@ -76,43 +76,46 @@ def _expand_hangul(char: Column) -> Column:
     )
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def strip_accents(value: Column | str) -> Column:
     """Decompose every character and drop the combining marks.
 
-    ASCII text, the common case, pays for one scan; Latin letters for one more.
+    ASCII text, the common case, costs one count of its bytes and Latin letters
+    one pass of ``translate``; only text with other scripts is looked at further.
     """
     text = F.col(value) if isinstance(value, str) else value
     source, target, multi = _decomposition_tables()
     long = "".join(multi)
-    # Cheap test first: below U+0250 only a handful of characters expand to several.
-    maybe = "[" + "".join(c for c in multi if c < "\u0250") + "\u0250-\U0010FFFF]"
+    # Latin letters that stay as they are, like the sharp s.
+    plain_latin = "".join(
+        chr(c) for c in range(0x80, 0x250) if chr(c) not in source and chr(c) not in multi
+    )
 
-    def expand(mapped: Column) -> Column:
-        has_multi = mapped.rlike(maybe) & (
-            (F.translate(mapped, long, "") != mapped) | mapped.rlike("[가-힣]")
-        )
+    def letters(char: Column) -> Column:
         # One literal string parsed into a map keeps the plan small.
         pairs = F.str_to_map(
             F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in multi.items())),
             F.lit("\x1e"),
             F.lit("\x1f"),
         )
+        is_hangul = char.between(chr(_HANGUL_FIRST), chr(_HANGUL_LAST))
+        return (
+            F.when(is_hangul, _expand_hangul(char))
+            .when(F.contains(F.lit(long), char), F.try_element_at(pairs, char))
+            .otherwise(char)
+        )
 
-        def letters(char: Column) -> Column:
-            is_hangul = char.between(chr(_HANGUL_FIRST), chr(_HANGUL_LAST))
-            listed = F.contains(F.lit(long), char)
-            return (
-                F.when(is_hangul, _expand_hangul(char))
-                .when(listed, F.try_element_at(pairs, char))
-                .otherwise(char)
-            )
-
-        return F.when(
-            has_multi, F.array_join(F.transform(F.split(mapped, ""), letters), "")
-        ).otherwise(mapped)
+    def expand(mapped: Column) -> Column:
+        has_multi = (F.translate(mapped, long, "") != mapped) | mapped.rlike("[가-힣]")
+        expanded = F.array_join(F.transform(F.split(mapped, ""), letters), "")
+        latin = _is_ascii(mapped) | _is_ascii(F.translate(mapped, plain_latin, ""))
+        return F.when(~latin & has_multi, expanded).otherwise(mapped)
 
     stripped = once(F.translate(text, source, target), expand)
-    return F.when(text.rlike("[^\\x00-\\x7F]"), stripped).otherwise(text)
+    return F.when(_is_ascii(text), text).otherwise(stripped)
 
 
 def plain_words(value: Column | str, keep: str = "") -> Column:

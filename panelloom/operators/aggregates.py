@@ -86,7 +86,10 @@ def rollup_dense(
     Units are converted before aggregating, inputs that do not exist are left
     out, and sums of periods without a valid reading are 0, not NULL.
     """
-    converted = convert_units(df, units or {})
+    dated = df
+    for column in (*keys, t):
+        dated = dated.where(F.col(column).isNotNull())
+    converted = convert_units(dated, units or {})
     rolled = rollup_sparse(converted, keys, t, rules, grain=grain, out_t=out_t)
     dense = densify(rolled, keys, out_t, grain=grain, rolled_up=True)
     sums = [out for out, (column, how) in rules.items() if how == "sum" and out in rolled.columns]

@@ -29,9 +29,10 @@ def calendar(
     mention its measures too: with the same columns asked for, Spark takes them
     from the shuffle of that aggregate instead of reading its source once more.
     """
-    dated = df.where(F.col(t).isNotNull())
-    measures = [c for c in df.columns if c not in (*keys, t)] if rolled_up else []
-    seen = [F.count(c).alias(f"_n{i}") for i, c in enumerate(measures)]
+    # The same rows the later join can match, so that both ask for the same table.
+    dated = df
+    for column in (*keys, t):
+        dated = dated.where(F.col(column).isNotNull())
     if bounds is None:
         step = step_number(t, grain)
         lo, hi = F.min(step), F.max(step)
@@ -39,9 +40,14 @@ def calendar(
         lo, hi = (F.max(step_number(F.lit(b).cast("date"), grain)) for b in bounds)
         if grain == "hour":
             hi = hi + 23
-    spans = dated.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"), *seen)
-    if seen:
-        spans = spans.where(" and ".join(f"_n{i} >= 0" for i in range(len(seen))))
+    measures = [c for c in df.columns if c not in (*keys, t)]
+    if rolled_up and measures:
+        # A checksum stands for "all columns are needed"; its test always holds.
+        sums = F.bit_xor(F.xxhash64(*measures)).alias("_sum")
+        spans = dated.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"), sums)
+        spans = spans.where(F.pmod("_sum", F.lit(2)) < 2)
+    else:
+        spans = dated.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"))
     size = F.lit(CALENDAR_BLOCK).cast("long")
     blocks = spans.select(
         *keys,
