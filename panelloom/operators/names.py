@@ -56,31 +56,29 @@ def canonicalize_by_table(
         "left",
     ).select("raw", "name", F.col("entity").alias("exact"))
 
-    lengths = aliases.groupBy(F.substring("alias", 1, PREFIX).alias("head")).agg(
-        F.collect_set(F.length("alias")).alias("lengths")
-    )
     open_names = exact.where(F.col("exact").isNull() & (F.length("name") > 0)).select("name").distinct()
-    places = open_names.select(
-        "name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at")
-    ).select(
-        "name",
-        "at",
-        # An alias shorter than the prefix is its own prefix.
-        F.explode(
-            F.array_distinct(
-                F.array(*[F.substring("name", F.col("at"), F.lit(n)) for n in range(1, PREFIX + 1)])
-            )
-        ).alias("head"),
+    places = open_names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
+    # Where a name goes on like an alias begins, take stretches as long as those aliases.
+    long = aliases.where(F.length("alias") >= PREFIX)
+    lengths = long.groupBy(F.substring("alias", 1, PREFIX).alias("head")).agg(
+        F.collect_set(F.length("alias")).alias("lengths")
     )
     stretches = (
-        places.join(lengths, "head")
+        places.withColumn("head", F.substring("name", F.col("at"), F.lit(PREFIX)))
+        .join(lengths, "head")
         .select("name", "at", F.explode("lengths").alias("len"))
         .where(F.col("at") + F.col("len") - 1 <= F.length("name"))
         .select("name", F.substring("name", F.col("at"), F.col("len")).alias("alias"))
+        .join(long, "alias")
     )
-    inside = (
-        stretches.join(aliases, "alias").groupBy("name").agg(F.min_by("entity", "ord").alias("inside"))
+    # Aliases too short to have such a beginning; mostly there are none, and then
+    # adaptive execution drops this branch.
+    pieces = [F.substring("name", F.col("at"), F.lit(n)) for n in range(1, PREFIX)]
+    short = places.select("name", F.explode(F.array(*pieces)).alias("alias")).join(
+        aliases.where(F.length("alias").between(1, PREFIX - 1)), "alias"
     )
+    found = stretches.unionByName(short)
+    inside = found.groupBy("name").agg(F.min_by("entity", "ord").alias("inside"))
     matched = exact.join(inside, "name", "left").select(
         F.col("raw").alias(column), F.coalesce("exact", "inside").alias(out)
     )
