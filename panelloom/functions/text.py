@@ -57,22 +57,21 @@ def _decomposition_tables() -> tuple[str, str, dict[str, str]]:
     return source, "".join(b for _, b in single), multi
 
 
-def _jamo(first: int, last: int) -> Column:
-    return F.array(*[F.lit(chr(code)) for code in range(first, last + 1)])
+def _letter(first: int, last: int, index: Column) -> Column:
+    """The letter at ``index`` (from 0) of a run of code points."""
+    run = F.lit("".join(map(chr, range(first, last + 1))))
+    return F.substring(run, index.cast("int") + 1, F.lit(1))
 
 
 def _expand_hangul(char: Column) -> Column:
     """A precomposed Hangul syllable as its two or three letters."""
     index = F.ascii(char) - F.lit(_HANGUL_FIRST)
+    vowel = F.floor(F.pmod(index, F.lit(588)) / 28)
     tail = F.pmod(index, F.lit(28))
     return F.concat(
-        F.element_at(_jamo(0x1100, 0x1112), (F.floor(index / 588) + 1).cast("int")),
-        F.element_at(
-            _jamo(0x1161, 0x1175), (F.floor(F.pmod(index, F.lit(588)) / 28) + 1).cast("int")
-        ),
-        F.when(tail > 0, F.element_at(_jamo(0x11A8, 0x11C2), F.greatest(tail, F.lit(1)))).otherwise(
-            ""
-        ),
+        _letter(0x1100, 0x1112, F.floor(index / 588)),
+        _letter(0x1161, 0x1175, vowel),
+        F.when(tail > 0, _letter(0x11A8, 0x11C2, tail - 1)).otherwise(""),
     )
 
 

@@ -64,9 +64,12 @@ def _final_plan(df) -> str:
     return text.split("== Initial Plan ==")[0]
 
 
-def test_fill_reads_its_source_once(spark):
-    plan = _final_plan(QUERIES["climatology_fill"](spark, SF))
-    assert plan.count("FileScan") == 1
+ONE_SCAN = ["climatology_fill", "densify_bounds", "gap_inventory", "rollup_dense", "class_fraction", "hourly_months"]
+
+
+@pytest.mark.parametrize("name", ONE_SCAN)
+def test_dense_series_read_their_source_once(spark, name):
+    assert _final_plan(QUERIES[name](spark, SF)).count("FileScan") == 1
 
 
 def test_scan_is_pruned_and_filtered(spark):
