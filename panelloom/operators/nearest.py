@@ -113,7 +113,7 @@ def nearest_join(
         .drop("few")
         .groupBy(*chunks)
         .cogroup(right.where(many).drop("few").groupBy(*chunks))
-        .applyInPandas(_nearest_in_chunk, schema)
+        .applyInPandas(_nearest_in_chunk(), schema)
     )
     found = joined.unionByName(searched)
     distance = planar_distance(F.col("elat"), F.col("elon"), F.col("slat"), F.col("slon"))
@@ -134,29 +134,36 @@ def nearest_join(
     )
 
 
-def _nearest_in_chunk(left, right):
-    """Best station of one chunk for each entity of another, a tile of distances at a time."""
-    import numpy as np
-    import pandas as pd
+def _nearest_in_chunk():
+    """Best station of one chunk for each entity of another, a tile of distances at a time.
 
-    if left.empty or right.empty:
-        return pd.DataFrame(columns=_FOUND)
-    # Ordered by name, the first of equal distances is the smallest name.
-    right = right.sort_values(["name", "station"], ignore_index=True)
-    slat, slon = right["slat"].to_numpy(), right["slon"].to_numpy()
-    elat, elon = left["elat"].to_numpy(), left["elon"].to_numpy()
-    tile = max(1, 2_000_000 // len(right))
-    picks = np.concatenate(
-        [
-            np.sqrt(
-                (elat[i : i + tile, None] - slat) ** 2 + (elon[i : i + tile, None] - slon) ** 2
-            ).argmin(axis=1)
-            for i in range(0, len(left), tile)
-        ]
-    )
-    chosen = right.iloc[picks].reset_index(drop=True)
-    out = left[["entity", "elat", "elon", "g"]].reset_index(drop=True)
-    return out.assign(**{c: chosen[c] for c in ("station", "name", "slat", "slon")})[_FOUND]
+    Made inside a function so that it travels to the tasks whole.
+    """
+
+    def search(left, right):
+        import numpy as np
+        import pandas as pd
+
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=_FOUND)
+        # Ordered by name, the first of equal distances is the smallest name.
+        right = right.sort_values(["name", "station"], ignore_index=True)
+        slat, slon = right["slat"].to_numpy(), right["slon"].to_numpy()
+        elat, elon = left["elat"].to_numpy(), left["elon"].to_numpy()
+        tile = max(1, 2_000_000 // len(right))
+        picks = np.concatenate(
+            [
+                np.sqrt(
+                    (elat[i : i + tile, None] - slat) ** 2 + (elon[i : i + tile, None] - slon) ** 2
+                ).argmin(axis=1)
+                for i in range(0, len(left), tile)
+            ]
+        )
+        chosen = right.iloc[picks].reset_index(drop=True)
+        out = left[["entity", "elat", "elon", "g"]].reset_index(drop=True)
+        return out.assign(**{c: chosen[c] for c in ("station", "name", "slat", "slon")})[_FOUND]
+
+    return search
 
 
 def attach_nearest(

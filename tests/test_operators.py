@@ -248,6 +248,19 @@ def test_ranked_pairs_classes_and_donors(spark):
     assert got == ["strong", "moderate", "moderate", None, "weak", "weak", None, None]
 
 
+@pytest.mark.parametrize("make", [correlate._block_products, nearest._nearest_in_chunk])
+def test_task_functions_need_no_installed_package(tmp_path, make):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    path = tmp_path / "function"
+    path.write_bytes(cloudpickle.dumps(make()))
+    load = "import pickle, sys; pickle.load(open(sys.argv[1], 'rb'))"
+    subprocess.run([sys.executable, "-c", load, str(path)], cwd=tmp_path, check=True)
+
+
 # ---- names and places -------------------------------------------------------
 
 ALIASES = [("jiji", "Jiji"), ("mulembwe", "Mulembwe"), ("basse mulembwe", "Mulembwe"), ("murembwe", "Mulembwe"), ("ji", "Short"), ("rusizi", "Rusizi")]
