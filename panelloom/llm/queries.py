@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, token_store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,9 @@ def vocabulary(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+@query()
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_store.read(spark, token_store.write(docs, vocabulary("byte_bpe_50k.json")))
