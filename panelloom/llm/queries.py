@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_store
+from . import exact_dedup, near_dedup, packing, quality, token_store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,19 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return token_store.read(spark, token_store.write(docs, vocabulary("byte_bpe_50k.json")))
+
+
+@query()
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = near_dedup.near_duplicates(docs)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    names = {"_pl_p": "doc_evidence", "_pl_host": "host_share", "_pl_path": "path_share", "_pl_good": "good", "_pl_kept": "kept"}
+    found = quality.classify(docs, labels)
+    return found.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
