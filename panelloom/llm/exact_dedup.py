@@ -111,7 +111,8 @@ def decisions(docs: DataFrame, digest: Callable[[Column], Column] = sha256, file
         F.monotonically_increasing_id().alias("row"),
         normalised(F.col("text")).alias("content"),
     ).withColumn("digest", digest(F.col("content")))
-    contents = contents.join(hits.select("digest"), "digest", "left_semi")
+    # as a shuffle at every size: the hits grow with the corpus
+    contents = contents.hint("merge").join(hits.select("digest"), "digest", "left_semi")
     texts = work.settle(_entries(contents, "digest", "content").withColumn("other", F.xxhash64("content")).drop("content"), "texts")
     differ = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     split = texts.join(differ, "digest", "left_semi")
