@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, quality, token_store
+from . import exact_dedup, near_dedup, packing, quality, token_store, top_inner
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"_pl_p": "doc_evidence", "_pl_host": "host_share", "_pl_path": "path_share", "_pl_good": "good", "_pl_kept": "kept"}
     found = quality.classify(docs, labels)
     return found.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+""")
+def op6_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner.top_inner(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
