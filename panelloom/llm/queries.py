@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, quality, token_store, top_inner
+from . import exact_dedup, near_dedup, packing, quality, token_store, top_inner, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,61 @@ FROM scored QUALIFY rank <= 10
 """)
 def op6_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner.top_inner(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+_FOLD = r"trim(regexp_replace(regexp_replace({}, '[\t\r\f\x0B ]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+def _decode_sql(text: str) -> str:
+    for name, sign in warc.ENTITIES.items():
+        text = "replace({}, '{}', '{}')".format(text, name, sign.replace("'", "''"))
+    return text
+
+
+def _uuid_sql(parts: str) -> str:
+    return f"""(SELECT '<urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-a' || substr(h, 18, 3)
+        || '-' || substr(h, 21, 12) || '>' FROM (SELECT sha256({parts}) AS h))"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_TEXT_SQL = f"regexp_replace(regexp_replace(regexp_replace(payload, {_quoted(warc._GONE)}, '', 'g'), {_quoted(warc._LINE)}, chr(10), 'g'), {_quoted(warc._TAG)}, '', 'g')"
+_LINE_SQL = "replace({}, chr(10), ' ')"
+
+WARC_SQL = f"""
+WITH response AS (
+  SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, chr(13) || chr(10) AS nl, chr(10) AS lf,
+         'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=UTF-8' || nl || 'Content-Length: ' || strlen(payload) AS head,
+         {_uuid_sql("'response' || lf || coalesce(CAST(page_id AS VARCHAR), '') || lf || coalesce(url, '') || lf || payload")} AS response_id
+  FROM pages
+), held AS (
+  SELECT *, 'sha256:' || sha256(payload) AS payload_digest, 'sha256:' || sha256(head || nl || nl || payload) AS source_digest,
+         {_FOLD.format(_LINE_SQL.format(_decode_sql(f"regexp_extract(payload, {_quoted(warc._TITLE)}, 1)")))} AS title,
+         regexp_extract(payload, {_quoted(warc._LANG)}, 1) AS language,
+         list_transform(regexp_extract_all(payload, {_quoted(warc._LINK)}, 1),
+           lambda x: 'outlink: ' || {_FOLD.format(_LINE_SQL.format(_decode_sql("x")))} || nl) AS links
+  FROM response
+), block AS (
+  SELECT page_id, response_id, target_uri, payload_digest, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+         'source-block-digest: ' || source_digest || nl || 'source-payload-digest: ' || payload_digest || nl
+         || list_aggregate(list_transform(string_split(head, nl), lambda x: 'source-header: ' || x || nl), 'string_agg', '')
+         || 'title: ' || title || nl || 'language: ' || language || nl
+         || coalesce(list_aggregate(links, 'string_agg', ''), '') AS block, lf
+  FROM held
+  UNION ALL
+  SELECT page_id, response_id, target_uri, payload_digest, 'conversion', 'text/plain; charset=UTF-8',
+         {_FOLD.format(_decode_sql(_TEXT_SQL))}, lf
+  FROM held
+)
+SELECT page_id, warc_type, {_uuid_sql("warc_type || lf || response_id")} AS record_id, response_id AS refers_to, target_uri,
+       '{warc.NO_DATE}' AS warc_date, content_type, CAST(strlen(block) AS BIGINT) AS content_length,
+       'sha256:' || sha256(block) AS block_digest, payload_digest AS source_payload_digest, block
+FROM block
+"""
+
+
+@query(WARC_SQL)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
