@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, quality, token_store, top_inner, warc
+from . import exact_dedup, near_dedup, packing, pii, quality, token_store, top_inner, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,8 @@ FROM block
 @query(WARC_SQL)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+@query()
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
