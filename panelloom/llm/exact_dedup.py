@@ -32,6 +32,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+#: Tasks that share the rows of one digest in a join.
+SALTS = 32
 #: Stands in for a null ``doc_id`` where the largest is sought.
 LEAST = -(2**63)
 
@@ -61,6 +63,13 @@ def _entries(arrivals: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _by_digest(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """Join rows with facts of which there is one per digest; a digest's rows are dealt to ``SALTS`` tasks."""
+    facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).hint("merge")
+    return salted.join(facts, ["digest", "salt"], how).drop("salt")
+
+
 def stream(spark: SparkSession, work: Workspace, arrivals: str, schema, files_per_trigger: int) -> DataFrame:
     """Run the arrivals through the state; the last entry of every digest that arrived more than once."""
     before = {k: spark.conf.get(k, None) for k in STATE}
@@ -112,14 +121,14 @@ def decisions(docs: DataFrame, digest: Callable[[Column], Column] = sha256, file
         normalised(F.col("text")).alias("content"),
     ).withColumn("digest", digest(F.col("content")))
     # as a shuffle at every size: the hits grow with the corpus
-    contents = contents.hint("merge").join(hits.select("digest"), "digest", "left_semi")
+    contents = _by_digest(contents, hits.select("digest"), "left_semi")
     texts = work.settle(_entries(contents, "digest", "content").withColumn("other", F.xxhash64("content")).drop("content"), "texts")
     differ = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     split = texts.join(differ, "digest", "left_semi")
     sure = hits.join(differ, "digest", "left_anti").select("digest", "keep", "keep_row", "size")
 
     rows = arrivals.select("id", "digest", "row")
-    plain = rows.join(sure, "digest", "left")
+    plain = _by_digest(rows, sure, "left")
     if not split.isEmpty():
         # texts that share a digest: rows find their text by a second hash, seen to differ between those texts
         clash = split.groupBy("digest", "other").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
