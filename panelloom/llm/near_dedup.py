@@ -79,25 +79,18 @@ def _signatures(batches):
     import hashlib
 
     import pyarrow as pa
-    import pyarrow.compute as pc
     import xxhash
 
-    from .tokens import slices
+    from .tokens import slices, words_of
 
     factors = _numbers(WORDS, 3) | np.uint64(1)
     for whole in batches:
         for a, b in slices(whole.column(2)):
-            texts = pc.fill_null(whole.column(2).slice(a, b - a).cast(pa.large_string()), "")
-            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = pc.dictionary_encode(lists.flatten())
-            names = coded.dictionary.to_pylist()
-            table = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in names), np.uint64, len(names))
-            codes = coded.indices.to_numpy()
-            words, empty = table[codes], np.array([x == "" for x in names], bool)[codes]
+            codes, names, counts = words_of(whole.column(2).slice(a, b - a))
+            words = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in names), np.uint64, len(names))[codes]
             n_shingles, classes, bands, signatures = [], [], [], []
             for end, n in zip(np.cumsum(counts).tolist(), counts.tolist()):
-                mine = words[end - n : end][~empty[end - n : end]]
+                mine = words[end - n : end]
                 if not len(mine):
                     row = (0, None, None, None)
                 else:
@@ -280,13 +273,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 85) -> DataFrame:
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     members = work.settle(spread.join(shared, "bucket"), "members")
     signed = members.join(nodes.select(F.col("row").alias("node"), "n", "sig", "bands"), "node")
-    texts = table.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
+    texts = table.hint("merge").join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
     texts = work.settle(texts.select(F.col("row").alias("node"), "text"), "texts")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-        pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+        pairs = left.hint("merge").join(pairs, "a").join(right.hint("merge"), "b").select("a", "b", "left", "right")
         return work.settle(pairs.mapInArrow(_confirm(threshold), "a long, b long"), name)
 
     # a hash of the node and band deals the members of a bucket to chunks, differently in every band

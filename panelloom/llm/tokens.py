@@ -188,3 +188,31 @@ def slices(texts: pa.Array, chars: int = SLICE_CHARS):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def bytes_of(column) -> tuple[bytes, np.ndarray]:
+    """The UTF-8 bytes of a column of texts, end to end, and where each ends.  Null counts as empty."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    return b"".join(x.as_buffer() for x in column), np.cumsum(sizes)
+
+
+_SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+_LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in _SPACES)
+
+
+def words_of(column, lower: bool = True) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Words between ASCII white space, A-Z lower-cased if asked: their codes, what the codes mean, words per text."""
+    data, ends = bytes_of(column)
+    data = data.translate(_LOWERED if lower else _SPACES)
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    texts = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    lists = pc.split_pattern(texts, " ")
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.dictionary_encode(lists.flatten())
+    codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    if "" in names:
+        there = codes != names.index("")
+        upto = np.concatenate([[0], np.cumsum(there)])
+        codes, counts = codes[there], np.diff(upto[np.concatenate([[0], np.cumsum(counts)])])
+    return codes, names, counts
