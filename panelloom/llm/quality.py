@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Workspace
+
 #: Most labelled documents that the models are fitted to, and most telling words of each model.
 SAMPLE, TELLING = 20_000, 100
 #: A telling word occurs in so many documents of the sample at least.
@@ -29,7 +31,7 @@ FEW_SITES = 100_000
 #: Columns that describe the characters and words of a text.
 SHAPE = 14
 
-WORD_PATTERN = r"[^\x09-\x0D\x20]+"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def features(texts, words: dict[str, int]) -> np.ndarray:
@@ -37,11 +39,13 @@ def features(texts, words: dict[str, int]) -> np.ndarray:
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    from .tokens import bytes_of, words_of
+
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer("".join(texts.to_pylist()).encode("utf-8", "surrogatepass"), np.uint8)
-    ends = np.cumsum(sizes)
+    data, ends = bytes_of(texts)
+    data = np.frombuffer(data, np.uint8)
 
     def share(kinds: np.ndarray) -> np.ndarray:
         upto = np.concatenate([[0], np.cumsum(kinds[data])])
@@ -53,10 +57,7 @@ def features(texts, words: dict[str, int]) -> np.ndarray:
     plain = np.isin(code, [ord(c) for c in ".,'-"])
     kinds = [upper, lower, digit, mark & ~plain, plain, code == 10, code == 32, code == 33, code == 124]
     columns = [share(k.astype(np.int64)) for k in kinds]
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
-    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = pc.dictionary_encode(lists.flatten())
-    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    codes, names, counts = words_of(pc.utf8_lower(texts), lower=False)
     owner = np.repeat(np.arange(n), counts)
     pairs = np.unique(owner * np.int64(max(1, len(names))) + codes) if len(codes) else np.zeros(0, np.int64)
     distinct = np.bincount(pairs // max(1, len(names)), minlength=n)
@@ -65,7 +66,7 @@ def features(texts, words: dict[str, int]) -> np.ndarray:
     out = np.zeros((n, SHAPE + len(words)))
     out[:, :SHAPE] = np.stack(columns, axis=1)
     if words and len(names):
-        cut = pc.utf8_trim(coded.dictionary, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").to_pylist()
+        cut = [x.strip(MARKS) for x in names]
         place = np.array([words.get(x, -1) for x in cut], np.int64)
         doc, word = pairs // len(names), place[pairs % len(names)]
         out[doc[word >= 0], SHAPE + word[word >= 0]] = 1
@@ -111,6 +112,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit to the labelled documents with the least hashes of their ids.  Labels with a null are left out."""
     import pyarrow as pa
 
+    from .tokens import slices
+
+    work = Workspace(docs.sparkSession, "quality-model")
     chosen = labels.select(*(F.col(c).cast("long").alias(c) for c in ("doc_id", "quality", "toxic"))).dropna()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -118,46 +122,65 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         F.coalesce("text", F.lit("")).alias("text"), (1 - F.col("quality")).alias("bad"), "toxic", "doc_id"
     )
     held = held.orderBy(F.xxhash64("doc_id", "text")).limit(sample)
-    rows = held.select("text", "bad", "toxic").toArrow()
-    y = [rows.column(k).to_numpy().astype(float) for k in ("bad", "toxic")]
-    text = rows.column("text").combine_chunks()
-    text = text if isinstance(text, pa.Array) else pa.array([], pa.string())
-    words: dict[str, int] = {}
-    for word in telling_words(text.to_pylist(), y):
-        words.setdefault(word, len(words))
-    x = features(text, words)
-    mean, scale = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+    held = work.settle(held, "sample")
+    words = {w: i for i, w in enumerate(telling_words(held))}
+
+    def rows(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                x = features(batch.column(0).slice(a, b - a), words)
+                columns = [batch.column(k).slice(a, b - a) for k in (1, 2)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=["bad", "toxic", "x"])
+
+    table = held.select("text", "bad", "toxic").mapInArrow(rows, "bad long, toxic long, x array<double>").toArrow()
+    size = SHAPE + len(words)
+    x = np.concatenate([c.values.to_numpy() for c in table.column("x").chunks] + [np.zeros(0)]).reshape(-1, size)
+    y = [table.column(k).to_numpy().astype(float) for k in ("bad", "toxic")]
+    mean, scale = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(size), np.ones(size))
     mean[SHAPE:], scale[SHAPE:] = 0, 1
     scale[scale == 0] = 1
-    x = (x - mean) / scale
+    x -= mean
+    x /= scale
     return Model(words, mean, scale, [fit_logistic(x, v) for v in y])
 
 
-def telling_words(texts: list[str], labels: list[np.ndarray]) -> list[str]:
-    """Words whose presence tells most about each label, by likelihood ratio."""
-    import re
-    from collections import defaultdict
+def telling_words(held: DataFrame) -> list[str]:
+    """Words whose presence in a document tells most about each label, by signed likelihood ratio."""
 
-    word = re.compile(WORD_PATTERN)
-    n = len(texts)
-    counts: dict = defaultdict(lambda: np.zeros(1 + len(labels)))
-    ones = np.stack([np.ones(n), *labels], axis=1) if n else np.zeros((0, 1))
-    for text, one in zip(texts, ones):
-        for w in {x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in word.findall(text.lower())} - {""}:
-            counts[w] += one
-    names = sorted(w for w, c in counts.items() if c[0] >= LEAST_DOCS)
-    if not names:
-        return []
-    table = np.stack([counts[w] for w in names])
+    def count(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from .tokens import slices, words_of
+
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                codes, names, counts = words_of(pc.utf8_lower(batch.column(0).slice(a, b - a)), lower=False)
+                cut: dict[str, int] = {}
+                place = np.array([cut.setdefault(x.strip(MARKS), len(cut)) for x in names], np.int64)
+                pairs = np.unique(np.repeat(np.arange(b - a), counts) * np.int64(max(1, len(cut))) + (place[codes] if len(codes) else 0))
+                doc, word = pairs // max(1, len(cut)), pairs % max(1, len(cut))
+                sums = [np.bincount(word, minlength=len(cut))]
+                for k in (1, 2):
+                    label = batch.column(k).slice(a, b - a).to_numpy()
+                    sums.append(np.bincount(word, weights=label[doc], minlength=len(cut)))
+                columns = [pa.array(list(cut), pa.string()), *(pa.array(v.astype(np.int64)) for v in sums)]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "bad", "toxic"])
+
+    total = held.agg(F.count(F.lit(1)), F.sum("bad"), F.sum("toxic")).first()
+    counts = held.select("text", "bad", "toxic").mapInArrow(count, "word string, n long, bad long, toxic long")
+    counts = counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "toxic"))).where(f"n >= {LEAST_DOCS} and word <> ''")
     out: list[str] = []
-    for k, y in enumerate(labels, 1):
-        share = np.clip(y.mean(), 1e-9, 1 - 1e-9)
-        hit, all_ = table[:, k], table[:, 0]
-        rate = np.clip(hit / all_, 1e-9, 1 - 1e-9)
-        ratio = hit * np.log(rate / share) + (all_ - hit) * np.log((1 - rate) / (1 - share))
-        ratio *= np.sign(rate - share)
-        out += [names[i] for i in np.argsort(-ratio, kind="stable")[:TELLING] if ratio[i] > 3.84]
-    return out
+    for label, hits in (("bad", total[1]), ("toxic", total[2])):
+        if not total[0] or not 0 < hits < total[0]:
+            continue
+        share = hits / total[0]
+        rate = F.greatest(F.least(F.col(label) / F.col("n"), F.lit(1 - 1e-9)), F.lit(1e-9))
+        ratio = F.col(label) * F.log(rate / share) + (F.col("n") - F.col(label)) * F.log((1 - rate) / (1 - share))
+        best = counts.withColumn("ratio", F.signum(rate - share) * ratio).where("ratio > 3.84")
+        out += [r[0] for r in best.orderBy(F.desc("ratio"), "word").limit(TELLING).select("word").collect()]
+    return list(dict.fromkeys(out))
 
 
 def _with_odds(docs: DataFrame, model: Model) -> DataFrame:
@@ -207,8 +230,6 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     keys = [F.coalesce(s, F.lit("null")).alias(k) for s, k in zip(site, ("_pl_h", "_pl_p"))]
     narrow = _with_odds(docs.select("text", *keys), model).select("_pl_h", "_pl_p", own.alias("p"))
     paths = narrow.groupBy("_pl_h", "_pl_p").agg(F.sum("p").alias("_pl_ps"), F.count(F.lit(1)).alias("_pl_pn"))
-    from .storage import Workspace
-
     paths = Workspace(docs.sparkSession, "quality").settle(paths, "paths")
     hosts = paths.groupBy("_pl_h").agg(F.sum("_pl_ps").alias("_pl_hs"), F.sum("_pl_pn").alias("_pl_hn"))
     total, n = paths.agg(F.coalesce(F.sum("_pl_ps"), F.lit(0.0)), F.coalesce(F.sum("_pl_pn"), F.lit(0))).first()
