@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Most units that a worker remembers; beyond it all are forgotten.
-KNOWN_UNITS = 400_000
+KNOWN_UNITS = 250_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNIT = re.compile(f"{BLANK}+[^{BLANK}]*")
 
@@ -221,19 +221,27 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), n_chars, round_trip (decoded equals the text)."""
+def round_trips(docs: DataFrame, model: str) -> DataFrame:
+    """Encode and decode in one pass: doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), n_chars, round_trip
+    (whether the decoded text is the text)."""
 
     def run(batches):
         from zlib import crc32
 
         import pyarrow as pa
 
+        from .tokens import slices
+
+        pieces = Pieces.of(model)
         for batch in batches:
-            ids = [x.values.to_numpy().astype("<u4") for x in batch.column("ids")]
-            texts = batch.column("text").to_pylist()
-            same = [t.replace(BLANK, " ") == d for t, d in zip(texts, batch.column("decoded").to_pylist())]
-            columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (map(len, ids), (crc32(x.tobytes()) for x in ids), map(len, texts)))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "n_chars", "round_trip"])
+            for a, b in slices(batch.column(1), 2_000_000):
+                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
+                ids, sizes = pieces.encode(texts)
+                ids = np.split(ids, np.cumsum(sizes)[:-1])
+                same = [pieces.decode(x.tolist()) == t.replace(BLANK, " ") for x, t in zip(ids, texts)]
+                numbers = sizes, [crc32(x.astype("<u4").tobytes()) for x in ids], list(map(len, texts))
+                columns = [batch.column(0).slice(a, b - a), *(pa.array(x, pa.int64()) for x in numbers), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids_crc32", "n_chars", "round_trip"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_chars long, round_trip boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_chars long, round_trip boolean")
