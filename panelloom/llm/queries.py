@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, pieces, pii, quality, token_store, top_inner, warc
+from . import exact_dedup, near_dedup, packing, pieces, pii, quality, suffix_dedup, token_store, top_inner, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -152,6 +152,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = vocabulary("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pieces.digests(pieces.decode(pieces.encode(docs, model), model))
+    return pieces.round_trips(docs, vocabulary("piece_bpe_32k.model"))
+
+
+@query()
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
