@@ -1,14 +1,46 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Each stage works on all its predecessor kept.  All but the last return the columns of ``documents``; the last returns the
+pieces of the packed sequences.  Nulls, empty texts, repeated rows and empty tables are handled as the operators say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelloom.llm import exact_dedup, near_dedup, packing, pii, quality
+from panelloom.llm.queries import vocabulary
 from panelloom.llm.storage import Workspace
 
-STAGES: list = []
 
-#: A classifier's weights and loopy inference can't be written in SQL: a brute-force version stands in the tests.
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 ids."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("quality", good), ("exact_dedup", distinct), ("near_dedup", apart), ("pii", private), ("packing", packed)]
+
+#: A classifier's weights and message passing can't be written in SQL: brute-force versions stand in the tests.
 ORACLE_SQL = None
 
 

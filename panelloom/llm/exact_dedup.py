@@ -155,4 +155,4 @@ def decisions(docs: DataFrame, digest: Callable[[Column], Column] = sha256, file
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents of which ``decisions`` keeps the row, with all their columns."""
     kept = decisions(docs).where("kept").select(F.col("row").alias("_pl_row"))
-    return docs.withColumn("_pl_row", F.monotonically_increasing_id()).join(kept, "_pl_row", "left_semi").drop("_pl_row")
+    return docs.withColumn("_pl_row", F.monotonically_increasing_id()).hint("merge").join(kept, "_pl_row", "left_semi").drop("_pl_row")

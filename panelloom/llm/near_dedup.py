@@ -328,4 +328,4 @@ def near_duplicates(docs: DataFrame, threshold: float = 85) -> DataFrame:
 def drop_near_copies(docs: DataFrame, threshold: float = 85) -> DataFrame:
     """One document of each component, with all its columns."""
     first = near_duplicates(docs, threshold).where("first").select(F.col("row").alias("_pl_row"))
-    return docs.withColumn("_pl_row", F.monotonically_increasing_id()).join(first, "_pl_row", "left_semi").drop("_pl_row")
+    return docs.withColumn("_pl_row", F.monotonically_increasing_id()).hint("merge").join(first, "_pl_row", "left_semi").drop("_pl_row")
