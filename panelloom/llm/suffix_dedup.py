@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .storage import Workspace
 
 SPAN, GRAM = 200, 32
-#: Bytes of a shard's text: positions and ranks take 21 bits each in sort keys.
-SHARD = SHARD_MOST = 1 << 21
+#: Bytes of a shard's text, and the most for which positions and ranks take 21 bits each in sort keys.
+SHARD, SHARD_MOST = 1 << 20, 1 << 21
+#: Characters of text whose anchors are sought at once.
+PIECE = 1_000_000
 #: Bytes that a slice is reckoned with when hot anchors are split.
 SLICE = SPAN + 100
 
@@ -169,8 +171,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return lcp[order]
 
 
-def repeated_windows(slices: list[bytes], counts: list[int], span: int = SPAN) -> list[np.ndarray]:
-    """Of distinct slices that occur so often: which of their windows start more than once among all."""
+def repeated_windows(slices: list[bytes], counts: list[int], span: int = SPAN) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of distinct slices that occur so often: which of their windows start more than once among all, and which stand for
+    a window (one of all equal ones)."""
     text = np.frombuffer(b"".join(slices), np.uint8)
     sizes = np.array([len(s) for s in slices])
     ends = np.cumsum(sizes)
@@ -180,9 +183,12 @@ def repeated_windows(slices: list[bytes], counts: list[int], span: int = SPAN) -
     order = suffix_array(text)
     run = np.cumsum(common_prefixes(text, order) < span) - 1
     total = np.bincount(run, weights=weight[order])
-    repeated = np.zeros(len(text), bool)
+    repeated, stands = np.zeros(len(text), bool), np.zeros(len(text), bool)
     repeated[order] = total[run] >= 2
-    return [repeated[e - n : e - span + 1] for e, n in zip(ends.tolist(), sizes.tolist())]
+    mine = np.flatnonzero(window[order])
+    stands[order[mine[np.unique(run[mine], return_index=True)[1]]]] = True
+    cuts = [slice(e - n, e - span + 1) for e, n in zip(ends.tolist(), sizes.tolist())]
+    return [(repeated[c], stands[c]) for c in cuts]
 
 
 def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +202,7 @@ def _count_anchors(batches):
     from .tokens import bytes_of, slices
 
     for batch in batches:
-        for a, b in slices(batch.column(0)):
+        for a, b in slices(batch.column(0), PIECE):
             values, counts = np.unique(_anchors(*bytes_of(batch.column(0).slice(a, b - a)))[3], return_counts=True)
             columns = [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "n"])
@@ -208,7 +214,7 @@ def _stretches(batches):
     from .tokens import bytes_of, slices
 
     for batch in batches:
-        for lo, hi in slices(batch.column(1)):
+        for lo, hi in slices(batch.column(1), PIECE):
             rows = batch.column(0).slice(lo, hi - lo)
             data, ends = bytes_of(batch.column(1).slice(lo, hi - lo))
             least, valid, owner, _ = _anchors(data, ends)
@@ -259,7 +265,7 @@ def _slices(span: int, with_bytes: bool):
     return run
 
 
-_FOUND = "anchor long, digest binary, part int, first array<int>, last array<int>, windows array<binary>"
+_FOUND = "anchor long, digest binary, part int, first array<int>, last array<int>, places array<int>, known array<boolean>, windows array<binary>"
 
 
 def _shards(span: int, shard: int):
@@ -272,7 +278,8 @@ def _shards(span: int, shard: int):
         out: list = []
 
         def emit():
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
+            ints = pa.list_(pa.int32())
+            kinds = (pa.int64(), pa.binary(), pa.int32(), ints, ints, ints, pa.list_(pa.bool_()), pa.list_(pa.binary()))
             names = [c.split()[0] for c in _FOUND.split(", ")]
             batch = pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=names)
             out.clear()
@@ -282,18 +289,21 @@ def _shards(span: int, shard: int):
             """Groups of one anchor each: (anchor, part, parts, [(digest, count, slice)])."""
             alone = [g for g in groups if len(g[3]) == 1 and g[3][0][1] > 1 and g[2] == 1]
             for anchor, part, _, ((digest, _, data),) in alone:
-                out.append((anchor, digest, part, [0], [len(data) - span + 1], None))
+                out.append((anchor, digest, part, [0], [len(data) - span + 1], None, None, None))
             rest = [g for g in groups if not (len(g[3]) == 1 and g[3][0][1] > 1 and g[2] == 1)]
             flat = [(g, s) for g in rest for s in g[3]]
             if not flat:
                 return
-            for (g, s), flags in zip(flat, repeated_windows([s[2] for _, s in flat], [s[1] for _, s in flat], span)):
+            for (g, s), (flags, stands) in zip(flat, repeated_windows([s[2] for _, s in flat], [s[1] for _, s in flat], span)):
                 first, last = _intervals(flags)
-                windows = None
-                if g[2] > 1:  # other shards may have the same windows
-                    windows = [xxhash.xxh3_128_digest(s[2][i : i + span]) for i in range(len(s[2]) - span + 1)]
+                places = known = windows = None
+                if g[2] > 1 and stands.any():  # other shards may have the same windows
+                    places = np.flatnonzero(stands)
+                    known = flags[places].tolist()
+                    windows = [xxhash.xxh3_128_digest(s[2][i : i + span]) for i in places]
+                    places = places.tolist()
                 if len(first) or windows:
-                    out.append((g[0], s[0], g[1], first.tolist(), last.tolist(), windows))
+                    out.append((g[0], s[0], g[1], first.tolist(), last.tolist(), places, known, windows))
 
         groups: list = []
         size = 0
@@ -321,7 +331,8 @@ def _shards(span: int, shard: int):
 
 
 def _found_twice(batches):
-    """Of window digests in sorted order, the places of those that occur more than once, by binary search."""
+    """Of window digests in sorted order, the places of those that occur more than once, by binary search.  Those that
+    their own shard knows are repeated are left out."""
     import pyarrow as pa
 
     held: list = []
@@ -332,13 +343,13 @@ def _found_twice(batches):
         if not final:  # the last digest may go on
             upto = int(np.searchsorted(keys, keys[-1], "left"))
         many = np.searchsorted(keys, keys[:upto], "right") - np.searchsorted(keys, keys[:upto], "left") > 1
-        found = [rows[i] for i in np.flatnonzero(many)]
+        found = [rows[i] for i in np.flatnonzero(many) if not rows[i][4]]
         kinds = (pa.int64(), pa.binary(), pa.int32())
         batch = pa.RecordBatch.from_arrays([pa.array([f[k + 1] for f in found], kind) for k, kind in enumerate(kinds)], names=["anchor", "digest", "at"])
         return batch, rows[upto:]
 
     for batch in batches:
-        held += list(zip(*(batch.column(c).to_pylist() for c in ("window", "anchor", "digest", "at"))))
+        held += list(zip(*(batch.column(c).to_pylist() for c in ("window", "anchor", "digest", "at", "known"))))
         if held:
             done, held = search(held, False)
             yield done
@@ -391,7 +402,9 @@ def covered(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
 
     own = found.select("anchor", "digest", F.explode(F.arrays_zip("first", "last")).alias("w"))
     own = own.select("anchor", "digest", F.col("w.first").alias("first"), F.col("w.last").alias("last"))
-    across = found.where("windows is not null").select("anchor", "digest", F.posexplode("windows").alias("at", "window"))
+    across = found.where("windows is not null").select(
+        "anchor", "digest", F.inline(F.arrays_zip(F.col("places").alias("at"), "known", F.col("windows").alias("window")))
+    )
     across = across.repartitionByRange(F.col("window"), F.col("anchor")).sortWithinPartitions("window")
     across = across.mapInArrow(_found_twice, "anchor long, digest binary, at int")
     across = across.select("anchor", "digest", F.col("at").alias("first"), (F.col("at") + 1).alias("last"))
