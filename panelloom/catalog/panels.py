@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.steps import month_start
 from ..plans import climate_fill, hourly_export, panel_build
 from ..plans import fixed_values as fv
-from ..plans.settle import settle
 from . import tables as tb
 from .matching import customers_placed, suppliers_placed
 from .registry import query
@@ -164,7 +163,7 @@ filled AS (
 
 
 def _filled(spark: SparkSession, sf: str) -> DataFrame:
-    return climate_fill.fill_climate(settle(_panel(spark, sf)[0], "panel"))
+    return climate_fill.fill_climate(_panel(spark, sf)[0])
 
 
 @query(f"WITH {_FILLED} SELECT * FROM filled")

@@ -61,18 +61,14 @@ def truncate_to(t: Column | str, grain: str) -> Column:
     return step_start(step_number(t, grain), grain)
 
 
-def month_date(year: Column | str, month: Column | str, *, check_month: bool = True) -> Column:
+def month_date(year: Column | str, month: Column | str) -> Column:
     """Month start from numeric year and month; NULL when they name no month.
 
-    Both are truncated to whole numbers.  With ``check_month=False`` an
-    impossible month raises instead, for sources that promise clean months.
+    Both are truncated to whole numbers.
     """
     y = _column(year).try_cast("int")
     m = _column(month).try_cast("int")
-    good_year = y.between(YEAR_MIN, YEAR_MAX)
-    if check_month:
-        return F.when(good_year & m.between(1, 12), F.make_date(y, m, F.lit(1)))
-    return F.when(good_year & m.isNotNull(), F.make_date(y, m, F.lit(1)))
+    return F.when(y.between(YEAR_MIN, YEAR_MAX) & m.between(1, 12), F.make_date(y, m, F.lit(1)))
 
 
 def monthly_date(df: DataFrame, year: str, month: str, out: str = "date") -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.steps import step_number
@@ -67,8 +67,13 @@ def impute_climatology(
     *,
     on_complete: str = "skip",
     block_steps: int = BLOCK_STEPS,
+    grain: str = "month",
+    season: Column | None = None,
 ) -> DataFrame:
-    """Same-calendar-month mean, then linear interpolation for what remains.
+    """Mean of the season, then linear interpolation for what remains.
+
+    ``grain`` is that of ``t``: neighbours are a month, a day or an hour apart.
+    The season is the calendar month unless given as an expression of ``t``.
 
     Adds ``<value>_imputed``.  Entities with nothing missing are left out
     (``skip``) or passed through (``keep``).
@@ -76,19 +81,20 @@ def impute_climatology(
     if on_complete not in ("skip", "keep"):
         raise ValueError(f"unknown on_complete {on_complete!r}")
     missing = F.count_if(F.col(value).isNull())
-    seasons = dense.groupBy(key, F.month(t).alias("calendar_month")).agg(
+    season = F.month(t) if season is None else season
+    seasons = dense.groupBy(key, season.alias("_season")).agg(
         F.avg(value).alias("_mean"), missing.alias("_missing")
     )
-    # At most twelve rows per entity: summing them here spares a second pass.
+    # A few rows per entity: summing them here spares a second pass.
     seasons = seasons.withColumn("_gaps", F.sum("_missing").over(Window.partitionBy(key)))
-    filled = dense.withColumn("calendar_month", F.month(t)).join(
-        seasons.drop("_missing"), [key, "calendar_month"], "left"
+    filled = dense.withColumn("_season", season).join(
+        seasons.drop("_missing"), [key, "_season"], "left"
     )
     if on_complete == "skip":
         filled = filled.where(F.col("_gaps") > 0)
     filled = filled.select(*dense.columns, F.coalesce(value, "_mean").alias("_filled"))
     out = f"{value}_imputed"
-    result = interpolate_linear(filled, key, step_number(t, "month"), "_filled", out, block_steps)
+    result = interpolate_linear(filled, key, step_number(t, grain), "_filled", out, block_steps)
     return result.select(*dense.columns, out)
 
 

@@ -11,6 +11,7 @@ from ..functions.binding import once
 from ..functions.text import normalize_text
 
 PREFIX = 3
+BLOCK = 256
 
 
 def canonical_name(value: Column | str, aliases: Sequence[tuple[str, str]]) -> Column:
@@ -45,44 +46,51 @@ def canonicalize_by_table(
 
     Each distinct name is matched once.  "Alias inside the name" is an equality:
     the stretches of the name that begin like an alias and are as long as one
-    are joined on the whole alias, so names never meet all aliases.
+    are joined on the whole alias, so names never meet all aliases.  A name goes
+    through these steps as an id (two hashes) and short stretches, so work grows
+    with its length and not with the square.
     """
-    names = df.select(F.col(column).alias("raw")).distinct().select(
-        "raw", normalize_text("raw").alias("name")
-    )
+    raw = F.col(column)
+    key = ["_h1", "_h2"]
+    hashes = [F.xxhash64(raw).alias("_h1"), F.xxhash64(raw, F.lit("other")).alias("_h2")]
+    names = df.select(raw.alias("raw"), *hashes).distinct().select(*key, normalize_text("raw").alias("name"))
     exact = names.join(
         aliases.groupBy("alias").agg(F.min_by("entity", "ord").alias("entity")),
         names["name"] == F.col("alias"),
         "left",
-    ).select("raw", "name", F.col("entity").alias("exact"))
-
-    open_names = exact.where(F.col("exact").isNull() & (F.length("name") > 0)).select("name").distinct()
-    places = open_names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
+    ).select(*key, "name", F.col("entity").alias("exact"))
+
+    longest = aliases.agg(F.coalesce(F.max(F.length("alias")), F.lit(1)).alias("n")).scalar()
+    open_names = exact.where(F.col("exact").isNull() & (F.length("name") > 0))
+    # First into blocks that overlap by an alias, then every place of a block.
+    starts = F.sequence(F.lit(1), F.length("name"), F.lit(BLOCK))
+    blocks = open_names.select(*key, "name", F.explode(starts).alias("from"))
+    blocks = blocks.select(*key, F.substring("name", F.col("from"), F.lit(BLOCK) + longest).alias("part"))
+    at = F.explode(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(BLOCK)))).alias("at")
+    places = blocks.select(*key, "part", at).select(*key, F.substring("part", F.col("at"), longest).alias("rest"))
     # Where a name goes on like an alias begins, take stretches as long as those aliases.
     long = aliases.where(F.length("alias") >= PREFIX)
     lengths = long.groupBy(F.substring("alias", 1, PREFIX).alias("head")).agg(
         F.collect_set(F.length("alias")).alias("lengths")
     )
     stretches = (
-        places.withColumn("head", F.substring("name", F.col("at"), F.lit(PREFIX)))
+        places.withColumn("head", F.substring("rest", 1, PREFIX))
         .join(lengths, "head")
-        .select("name", "at", F.explode("lengths").alias("len"))
-        .where(F.col("at") + F.col("len") - 1 <= F.length("name"))
-        .select("name", F.substring("name", F.col("at"), F.col("len")).alias("alias"))
+        .select(*key, "rest", F.explode("lengths").alias("len"))
+        .where(F.col("len") <= F.length("rest"))
+        .select(*key, F.substring("rest", F.lit(1), F.col("len")).alias("alias"))
         .join(long, "alias")
     )
     # Aliases too short to have such a beginning; mostly there are none, and then
     # adaptive execution drops this branch.
-    pieces = [F.substring("name", F.col("at"), F.lit(n)) for n in range(1, PREFIX)]
-    short = places.select("name", F.explode(F.array(*pieces)).alias("alias")).join(
+    pieces = [F.substring("rest", 1, n) for n in range(1, PREFIX)]
+    short = places.select(*key, F.explode(F.array(*pieces)).alias("alias")).join(
         aliases.where(F.length("alias").between(1, PREFIX - 1)), "alias"
     )
     found = stretches.unionByName(short)
-    inside = found.groupBy("name").agg(F.min_by("entity", "ord").alias("inside"))
-    matched = exact.join(inside, "name", "left").select(
-        F.col("raw").alias(column), F.coalesce("exact", "inside").alias(out)
-    )
-    return df.join(matched, column, "left")
+    inside = found.groupBy(*key).agg(F.min_by("entity", "ord").alias("inside"))
+    matched = exact.join(inside, key, "left").select(*key, F.coalesce("exact", "inside").alias(out))
+    return df.withColumns(dict(zip(key, hashes))).join(matched, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], out)
 
 
 def unmatched_names(df: DataFrame, name: str, entity: str) -> DataFrame:

@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.numbers import planar_distance
 
 SAME_CELL, FALLBACK = "same_era5_grid", "nearest_fallback"
-CHUNK = 20_000
-FEW_STATIONS = 64
+# Bins of the search grid: side of the finest in degrees, and how often it doubles.
+FINEST, LEVELS = 0.02, 15
+_TOP = LEVELS  # one bin that holds everything
 
-_FOUND = ["entity", "station", "name", "slat", "slon", "elat", "elon", "g"]
+
+def _placed(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Rows whose coordinates are numbers: neither NULL nor NaN nor infinite."""
+    number = lambda c: F.abs(F.col(c).cast("double")) < float("inf")  # noqa: E731  false for NaN, NULL for NULL
+    return df.where(number(lat) & number(lon))
+
+
+def _bin(level: Column, lat: str, lon: str) -> list[Column]:
+    side = F.lit(FINEST) * F.pow(F.lit(2.0), level)
+    whole = lambda c: F.when(level == _TOP, 0).otherwise(F.floor(F.col(c) / side)).cast("long")
+    return [whole(lat).alias("bx"), whole(lon).alias("by")]
 
 
 def nearest_join(
@@ -29,25 +39,25 @@ def nearest_join(
     name: str | None = None,
     same_mode: str = SAME_CELL,
     fallback_mode: str = FALLBACK,
-    chunk: int = CHUNK,
 ) -> DataFrame:
-    """``(key, station, distance_deg, selection_mode)``, one row per entity.
+    """``(key, station, distance_deg, selection_mode)``, one row per entity with a place.
 
     Candidates are the stations of the same cell or, if it has none, all of
     them; least distance wins, then the smallest ``name`` (default: the station
-    id), then the smallest id.
-
-    Both sides of a cell are cut into chunks of about ``chunk`` rows, and chunks
-    meet each other on (cell, chunk, chunk), so a full cell spreads over many
-    tasks.  Where an entity has few stations to look at, that is a plain join.
-    Else a task searches one chunk against another, and pairs exist only as
-    array cells inside it: entities are copied once per station chunk.
+    id), then the smallest id.  Stations and entities without numeric
+    coordinates (NULL, NaN) take no part.
+
+    The search is exact and goes over a grid whose bins double from level to
+    level.  The finest level at which an entity's own bin holds a station bounds
+    its distance by the bin's diagonal; its candidates are the stations in the
+    nine bins around it one level up, which reach at least that far.  So an
+    entity meets the stations around it, however many there are elsewhere.
     """
     name = name or station
     # Keys of the search groups: one per cell, and one of all stations.
     cell_group = F.concat(F.lit("="), F.col(cell).cast("string"))
     right = (
-        stations.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+        _placed(stations, lat, lon)
         .select(
             F.explode(F.array(cell_group, F.lit("*"))).alias("g"),
             F.col(station).alias("station"),
@@ -56,116 +66,53 @@ def nearest_join(
             F.col(lon).cast("double").alias("slon"),
         )
         .where(F.col("g").isNotNull())
+        # Of stations at one place only the first can win.
+        .groupBy("g", "slat", "slon")
+        .agg(F.min(F.struct("name", "station")).alias("first"))
     )
-    right_sizes = right.groupBy("g").agg(F.count("*").alias("n_right"))
+    occupied_cells = right.select(F.col("g").alias("own"), F.lit(True).alias("same")).distinct()
     left = (
-        entities.select(
+        _placed(entities, lat, lon)
+        .select(
             F.col(key).alias("entity"),
             cell_group.alias("own"),
             F.col(lat).cast("double").alias("elat"),
             F.col(lon).cast("double").alias("elon"),
         )
-        .join(right_sizes.select(F.col("g").alias("own"), F.lit(True).alias("same")), "own", "left")
-        .select(
-            "entity",
-            F.when(F.col("same"), F.col("own")).otherwise(F.lit("*")).alias("g"),
-            "elat",
-            "elon",
-        )
-    )
-    left_sizes = left.groupBy("g").agg(F.count("*").alias("n_left"))
-    sizes = right_sizes.join(left_sizes, "g").select(
-        "g",
-        F.ceil(F.col("n_left") / chunk).alias("n_a"),
-        F.ceil(F.col("n_right") / chunk).alias("n_b"),
-        (F.col("n_right") <= FEW_STATIONS).alias("few"),
-    )
-    last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    left = left.join(sizes, "g").select(
-        "g", "few", "entity", "elat", "elon",
-        F.pmod(F.xxhash64("entity"), F.col("n_a")).alias("a"),
-        F.explode(last("n_b")).alias("b"),
-    )
-    right = right.join(sizes, "g").select(
-        "g", "few", "station", "name", "slat", "slon",
-        F.pmod(F.xxhash64("station"), F.col("n_b")).alias("b"),
-        F.explode(last("n_a")).alias("a"),
-    )
-    schema = T.StructType(
-        [
-            T.StructField("entity", entities.schema[key].dataType),
-            T.StructField("station", stations.schema[station].dataType),
-            T.StructField("name", T.StringType()),
-            T.StructField("slat", T.DoubleType()),
-            T.StructField("slon", T.DoubleType()),
-            T.StructField("elat", T.DoubleType()),
-            T.StructField("elon", T.DoubleType()),
-            T.StructField("g", T.StringType()),
-        ]
+        .join(occupied_cells, "own", "left")
+        .select("entity", F.when(F.col("same"), F.col("own")).otherwise(F.lit("*")).alias("g"), "elat", "elon")
     )
-    chunks = ["g", "a", "b"]
-    few, many = F.col("few"), ~F.col("few")
-    joined = (
-        left.where(few).drop("few").join(right.where(few).drop("few"), chunks).select(*_FOUND)
-    )
-    searched = (
-        left.where(many)
-        .drop("few")
-        .groupBy(*chunks)
-        .cogroup(right.where(many).drop("few").groupBy(*chunks))
-        .applyInPandas(_nearest_in_chunk(), schema)
-    )
-    found = joined.unionByName(searched)
+    place = ["g", "elat", "elon"]
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+    where = ["g", "level", "bx", "by"]
+    occupied = right.select("g", "slat", "slon", levels).select("g", "level", *_bin(F.col("level"), "slat", "slon")).distinct()
+    places = left.select(*place).distinct()
+    own = places.select(*place, levels).select(*place, "level", *_bin(F.col("level"), "elat", "elon"))
+    finest = own.join(occupied, where, "left_semi").groupBy(*place).agg(F.min("level").alias("level"))
+    wide = F.coalesce(F.col("level") + 1, F.lit(_TOP))  # nothing near: look at all
+    around = F.when(F.col("level") == _TOP, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, (-1, 0, 1))))
+    asked = places.join(finest, place, "left").select(*place, wide.alias("level"))
+    asked = asked.select(*place, "level", around.alias("dx"), around.alias("dy"), *_bin(F.col("level"), "elat", "elon"))
+    asked = asked.select(*place, "level", F.explode("dx").alias("dx"), "dy", "bx", "by")
+    asked = asked.select(*place, "level", "dx", F.explode("dy").alias("dy"), "bx", "by")
+    asked = asked.select(*place, "level", (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by"))
+    all_levels = F.explode(F.sequence(F.lit(1), F.lit(_TOP))).alias("level")
+    held = right.select("*", all_levels).select("g", "level", "slat", "slon", "first", *_bin(F.col("level"), "slat", "slon"))
     distance = planar_distance(F.col("elat"), F.col("elon"), F.col("slat"), F.col("slon"))
     best = (
-        found.withColumn("distance_deg", distance)
-        .groupBy("entity")
-        .agg(
-            F.min_by(
-                F.struct("station", "distance_deg", "g"), F.struct("distance_deg", "name", "station")
-            ).alias("best")
-        )
+        asked.join(held, where)
+        .withColumn("distance_deg", distance)
+        .groupBy(*place)
+        .agg(F.min(F.struct("distance_deg", "first")).alias("best"))
     )
-    return best.select(
+    return left.join(best, place).select(
         F.col("entity").alias(key),
-        F.col("best.station").alias(station),
+        F.col("best.first.station").alias(station),
         F.col("best.distance_deg").alias("distance_deg"),
-        F.when(F.col("best.g") == "*", fallback_mode).otherwise(same_mode).alias("selection_mode"),
+        F.when(F.col("g") == "*", fallback_mode).otherwise(same_mode).alias("selection_mode"),
     )
 
 
-def _nearest_in_chunk():
-    """Best station of one chunk for each entity of another, a tile of distances at a time.
-
-    Made inside a function so that it travels to the tasks whole.
-    """
-
-    def search(left, right):
-        import numpy as np
-        import pandas as pd
-
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=_FOUND)
-        # Ordered by name, the first of equal distances is the smallest name.
-        right = right.sort_values(["name", "station"], ignore_index=True)
-        slat, slon = right["slat"].to_numpy(), right["slon"].to_numpy()
-        elat, elon = left["elat"].to_numpy(), left["elon"].to_numpy()
-        tile = max(1, 2_000_000 // len(right))
-        picks = np.concatenate(
-            [
-                np.sqrt(
-                    (elat[i : i + tile, None] - slat) ** 2 + (elon[i : i + tile, None] - slon) ** 2
-                ).argmin(axis=1)
-                for i in range(0, len(left), tile)
-            ]
-        )
-        chosen = right.iloc[picks].reset_index(drop=True)
-        out = left[["entity", "elat", "elon", "g"]].reset_index(drop=True)
-        return out.assign(**{c: chosen[c] for c in ("station", "name", "slat", "slon")})[_FOUND]
-
-    return search
-
-
 def attach_nearest(
     base: DataFrame,
     choices: DataFrame,

@@ -16,8 +16,8 @@ def fill_climate(panel: DataFrame, key: str = "river", flag_rule: str = "referen
     Observed columns stay; filled values are in ``*_filled`` and flagged in
     ``temp_max_imputed``, ``temp_min_imputed`` and ``precip_imputed``.
 
-    The panel is read twice (for the factors and for the fill): pass a stored
-    one, or :func:`panelloom.plans.settle.settle` it first.
+    The panel is read twice (for the factors and for the fill): store a costly
+    one first (:func:`panelloom.plans.settle.settle`).
     """
     models = {"temp_max_observed": "era5_t2m_max", "temp_min_observed": "era5_t2m_min"}
     filled = impute_from_model(panel, models, flag_rule)

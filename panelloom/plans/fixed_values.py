@@ -4,19 +4,6 @@ They are data, not logic; every plan takes them as arguments and uses these as
 defaults.
 """
 
-TARGET_RIVERS = (
-    "Buzimba",
-    "Mutimbuzi",
-    "Jiji",
-    "Nyamagana",
-    "Mpanda",
-    "Nyakagunda",
-    "Kaburantwa",
-    "Mulembwe",
-    "Nyengwe",
-    "Rusizi",
-)
-
 RIVER_GRID = {
     "Nyengwe": "grid_m4.25_29.50",
     "Buzimba": "grid_m4.00_29.50",
@@ -127,7 +114,3 @@ EXPORT_UNITS = {
     "tp": METRES_TO_MILLIMETRES,
     "msl": PASCAL_TO_HECTOPASCAL,
 }
-
-# First and last month of the satellite calendars.
-WATER_RANGE = ("1984-01-01", "2025-12-01")
-VEGETATION_RANGE = ("2000-01-01", "2025-12-01")

@@ -65,7 +65,7 @@ def summary(filled: DataFrame) -> DataFrame:
     return imputation_summary(filled, "river", "Date", "haut_moy_original", "haut_moy_imputed")
 
 
-def donors(dense: DataFrame, min_periods: int = 24, entity_blocks: int = 1) -> tuple[DataFrame, DataFrame]:
+def donors(dense: DataFrame, entity_blocks: int, min_periods: int = 24) -> tuple[DataFrame, DataFrame]:
     """Ranked, classified pairs and the best donor of every river."""
     corr = pairwise_corr(
         dense,

@@ -12,26 +12,30 @@ from ..functions.steps import monthly_date
 from ..functions.text import normalize_name, normalize_text
 from ..operators.aggregates import first_non_null, rollup_sparse
 from ..operators.calendar import densify, with_year_month
-from ..operators.names import canonical_name
+from ..operators.names import canonical_name, unmatched_entities
 from ..operators.nearest import nearest_join, source_coverage
-from ..operators.quality import check_complete, check_unique, require_empty
+from ..operators.quality import check_complete, check_subset, check_unique, require_empty
 from ..operators.shape import attach, map_values, unpivot
-from ..sinks.write import manifest, write_panel, write_per_entity
+from ..sinks.write import slugs, write_panel, write_per_entity, written_files
 from ..sources import sheets
 from . import fixed_values as fv
-from .settle import settle
+from .settle import remove, settle
 
 YEAR, MONTH, NAME = ("year", "yy"), ("month", "mm"), ("station_name", "name")
 
 
 def read_sheets(
-    rows: DataFrame, measures: Mapping[str, Sequence[str]], optional: Sequence[str] = ()
+    rows: DataFrame,
+    measures: Mapping[str, Sequence[str]],
+    optional: Sequence[str] = (),
+    folder: str | None = None,
 ) -> DataFrame:
     """Dated rows of all sheets: ``file, row_idx, station_name_raw, lat, lon, date`` and measures.
 
     ``measures`` maps each output to the tokens its column name must hold.  A
     sheet that lacks a column stops the job, unless the column is ``optional``.
-    The rows are written once and read back.
+    With a shared ``folder`` the rows are written there once and read back;
+    whoever names it clears it.
     """
     header = sheets.headers(rows, sheets.detect_header(rows))
     at = {
@@ -58,36 +62,53 @@ def read_sheets(
         F.trim(sheets.cell("cells", "_name")).alias("station_name_raw"),
         *[c.alias(n) for n, c in numbers.items()],
     )
+    dated = monthly_date(read, "yy", "mm").drop("yy", "mm", "year", "month")
     # Everything later reads these rows several times: keep them, not the sheets.
-    return settle(monthly_date(read, "yy", "mm").drop("yy", "mm", "year", "month"), "sheets")
+    return settle(dated, folder, "sheets") if folder else dated
 
 
 def river_levels(
-    rows: DataFrame, aliases: Sequence[tuple[str, str]] = fv.RIVER_ALIASES
+    rows: DataFrame, aliases: Sequence[tuple[str, str]] = fv.RIVER_ALIASES, folder: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Levels ``(river, date, water_level)``, locations ``(river, lat, lon)``, unmatched names.
+    """Levels ``(river, date, water_level)``, locations ``(river, lat, lon)``, suspect names.
 
-    The river comes from the file's name; station names that map to no river
-    are reported beside it.
+    The river comes from the file's name; two files of one river stop the job.
+    Station names that map to no river, or to another than their file's
+    (``maps_to``), are reported.
     """
-    dated = read_sheets(rows, {"water_level": ["haut"]}).withColumn(
+    dated = read_sheets(rows, {"water_level": ["haut"]}, folder=folder).withColumn(
         "river", canonical_name("file", aliases)
     )
+    dated = one_file_each(dated, "river")
     levels = (
         dated.where(F.col("river").isNotNull())
         .groupBy("river", "date")
-        .agg(first_non_null("water_level", ["station_name_raw", "row_idx"]).alias("water_level"))
+        .agg(first_non_null("water_level", ["station_name_raw", "row_idx", "file"]).alias("water_level"))
     )
     located = dated.groupBy("river").agg(
         first_non_null("lat", ["file", "row_idx"]).alias("lat"),
         first_non_null("lon", ["file", "row_idx"]).alias("lon"),
     )
-    unmatched = (
-        dated.select("river", "station_name_raw")
-        .distinct()
-        .where(canonical_name("station_name_raw", aliases).isNull())
+    named = dated.select("river", "station_name_raw").distinct()
+    named = named.withColumn("maps_to", canonical_name("station_name_raw", aliases))
+    suspect = named.where(F.col("maps_to").isNull() | (F.col("maps_to") != F.col("river")))
+    return levels, located, suspect
+
+
+def one_file_each(df: DataFrame, key: str) -> DataFrame:
+    """The rows as they are; an entity that comes from more than one file stops the job."""
+    files = df.groupBy(F.col(key).alias("_key")).agg(F.min("file").alias("_one"), F.max("file").alias("_other"))
+    message = F.concat(F.lit("more than one file for "), F.col(key), F.lit(": "), F.col("_one"), F.lit(", "), F.col("_other"))
+    checked = F.when(F.col("_one") == F.col("_other"), F.col(key)).otherwise(F.raise_error(message))
+    joined = df.join(files, df[key] == F.col("_key"), "left").withColumn(
+        key, F.when(F.col(key).isNotNull(), checked)
     )
-    return levels, located, unmatched
+    return joined.select(*df.columns)
+
+
+def without_runoff(rivers: DataFrame, runoff: DataFrame) -> DataFrame:
+    """Target rivers that no runoff column maps to."""
+    return unmatched_entities(rivers, runoff, "river")
 
 
 def river_runoff(
@@ -133,13 +154,14 @@ def station_months(
     rows: DataFrame,
     measures: Mapping[str, Sequence[str]],
     grids: Mapping[str, str] = fv.STATION_GRID,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Observations per (station_key, date) and the station dimension.
 
     A station found in several files is merged once over all of them, so the
     keys of both results are unique.
     """
-    dated = read_sheets(rows, measures).withColumn("station_key", normalize_text("station_name_raw"))
+    dated = read_sheets(rows, measures, folder=folder).withColumn("station_key", normalize_text("station_name_raw"))
     seen = ["file", "row_idx"]
     observations = dated.groupBy("station_key", "date").agg(
         *[first_non_null(m, seen).alias(m) for m in measures]
@@ -201,28 +223,50 @@ def assemble(
     return panel.select(*fv.PANEL_COLUMNS), sources.drop("_temp_station", "_precip_station")
 
 
-def coverage_report(panel: DataFrame, sources: DataFrame) -> DataFrame:
-    """Range, rows, chosen sources and missing months per river."""
+def coverage_report(panel: DataFrame, sources: DataFrame, dated: DataFrame | None = None) -> DataFrame:
+    """Range, rows, chosen sources and missing months per river.
+
+    ``dated`` is the level table before its calendar was filled in; with it the
+    report also has the number of dated rows.
+    """
     columns = [c for c in sources.columns if c != "river"]
-    return source_coverage(panel, "river", "date", "water_level", sources, columns)
+    report = source_coverage(panel, "river", "date", "water_level", sources, columns)
+    if dated is None:
+        return report
+    counts = dated.groupBy("river").agg(F.count("*").alias("n_dated"))
+    return report.join(counts, "river", "left")
 
 
-def publish(panel: DataFrame, out: str, fmt: str = "csv") -> DataFrame:
+def publish(
+    panel: DataFrame, out: str, fmt: str = "csv", levels: DataFrame | None = None
+) -> DataFrame:
     """Check, then write the panel, its per-river folders and the manifest; returns the manifest.
 
-    The checks come first: a panel that fails them is not written at all.
+    The panel is evaluated once, into a table below ``out`` that is checked,
+    written from and removed again.  A panel that fails a check (keys unique,
+    calendars complete, folder names distinct, and exactly the observed
+    ``levels`` if given) is not published.  The manifest lists the files written.
     """
-    require_empty(
-        check_unique(panel, ["river", "date"]), check_complete(panel, "river", "date")
-    )
-    write_panel(panel, f"{out}/master_dataset_monthly", "river", "date", panel.columns, fmt)
-    write_per_entity(panel, f"{out}/per_river", "river", "date", panel.columns, fmt)
-    listed = manifest(
-        panel,
-        "river",
-        f"outputs/master_dataset_monthly.{fmt}",
-        f"outputs/per_river/{{slug}}_monthly.{fmt}",
-        ["merge_summary.md"],
+    spark, work = panel.sparkSession, f"{out.rstrip('/')}_unpublished"
+    try:
+        stored = settle(panel, work, "panel")
+        checks = [
+            check_unique(stored, ["river", "date"]),
+            check_complete(stored, "river", "date"),
+            slugs(stored, "river"),
+        ]
+        if levels is not None:
+            keys = ["river", "date", "water_level"]
+            known = lambda df: df.where(F.col("water_level").isNotNull()).select(*keys)
+            checks.append(check_subset(known(stored), known(levels)))
+        require_empty(*checks)
+        write_panel(stored, f"{out}/master_dataset_monthly", "river", "date", stored.columns, fmt)
+        write_per_entity(stored, f"{out}/per_river", "river", "date", stored.columns, fmt)
+    finally:
+        remove(spark, work)
+    reader = spark.read.format(fmt).option("header", "true")
+    listed = written_files(reader.load(f"{out}/master_dataset_monthly"), out).unionByName(
+        written_files(reader.load(f"{out}/per_river"), out)
     )
-    listed.write.mode("overwrite").option("header", "true").csv(f"{out}/output_manifest")
-    return listed
+    listed.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{out}/output_manifest")
+    return spark.read.schema("file string, row_count long").option("header", "true").csv(f"{out}/output_manifest")

@@ -2,34 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its
-    own: on a cluster no machine's private disk will do.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="panelloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder.
+def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df`` as a Parquet table in ``folder``, which all executors must share.
 
     Later steps then start from files: lost executors cost no recomputation of
     what led here, several readers do not repeat it, and columns can be pruned.
+    Whoever names the folder clears it (:func:`remove`).
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of settled tables that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numbers import nan_to_null
+
 
 def file_name() -> Column:
     """Name of the file a row was read from, as it is on disk.
@@ -17,6 +21,32 @@ def file_name() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
+def _literal(path: str) -> str:
+    """A listed file as a path that is taken as it is."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(path))
+
+
+def _by_layout(spark: SparkSession, reader, files: Sequence[str], schema: T.StructType) -> DataFrame:
+    """CSV files by column *name*: one scan for each order of columns found in their header lines.
+
+    Only header lines are looked at beforehand.  Each scan also checks the
+    headers of its files (``enforceSchema`` is off), so nothing is taken by position.
+    """
+    kinds = {f.name.lower(): f for f in schema.fields}
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        names = tuple(spark.read.option("header", "true").csv(file).columns)
+        layouts.setdefault(names, []).append(file)
+    frames = []
+    for names, paths in layouts.items():
+        absent = [f.name for f in schema.fields if f.name.lower() not in {n.lower() for n in names}]
+        if absent:
+            raise ValueError(f"column(s) {absent} missing in {paths[0]}; found {list(names)}")
+        layout = T.StructType([T.StructField(n, kinds[n.lower()].dataType if n.lower() in kinds else T.StringType()) for n in names])
+        frames.append(reader.schema(layout).option("enforceSchema", "false").load(paths).select(*schema.names, "_metadata"))
+    return union_series(frames)
+
+
 def read_series(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -31,26 +61,44 @@ def read_series(
 ) -> DataFrame:
     """Read every matching file in one scan and tag rows with their series id.
 
-    ``key_regex`` has one group, matched on the file name.  ``exclude_regex``
-    leaves out files by name, for instance results of an earlier run.
-    ``expect_files`` guards a source that must be found exactly that often.
+    ``key_regex`` has one group, matched on the file name; a file that does not
+    match stops the job.  ``exclude_regex`` leaves out files by name, for
+    instance results of an earlier run.  ``expect_files`` guards a source that
+    must be found exactly that often (without the excluded ones).
+
+    CSV columns are found by name: files may order them differently and have
+    others besides; a missing one raises.  NaN becomes NULL.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", "true").option("nanValue", "NaN")
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.load(list(paths) if not isinstance(paths, str) else paths)
+    given = list(paths) if not isinstance(paths, str) else paths
+    if schema is not None and fmt == "csv":
+        if isinstance(schema, str):
+            schema = spark.createDataFrame([], schema).schema
+        listed = [_literal(f) for f in spark.read.format("text").load(given).inputFiles()]
+        if exclude_regex is not None:
+            listed = [f for f in listed if not re.search(exclude_regex, f.rsplit("/", 1)[-1])]
+        df = _by_layout(spark, reader, sorted(listed), schema) if listed else spark.createDataFrame([], schema)
+        names = schema.names
+    else:
+        df = (reader.schema(schema) if schema is not None else reader).load(given)
+        names = df.columns
     if expect_files is not None:
         # A listing of names, not a job over the data.
-        found = len(df.inputFiles())
+        found = [unquote(f).rsplit("/", 1)[-1] for f in df.inputFiles()]
+        found = len([f for f in found if exclude_regex is None or not re.search(exclude_regex, f)])
         if found != expect_files:
             raise FileNotFoundError(f"expected {expect_files} file(s) for {paths}, found {found}")
-    if exclude_regex is not None:
+    if exclude_regex is not None and df.inputFiles():
         df = df.where(~file_name().rlike(exclude_regex))
-    wanted = [F.col(c) for c in (columns or df.columns)]
+    kinds = dict(df.dtypes)
+    wanted = [nan_to_null(c).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in (columns or names)]
     if key_regex is not None:
-        wanted.insert(0, F.regexp_extract(file_name(), key_regex, 1).alias(key))
+        found = F.regexp_extract(file_name(), key_regex, 1)
+        message = F.concat(F.lit("no series id in file name "), file_name())
+        found = F.when(file_name().rlike(key_regex), found).otherwise(F.raise_error(message))
+        wanted.insert(0, found.alias(key))
     return df.select(*wanted)
 
 

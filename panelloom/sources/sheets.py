@@ -46,31 +46,28 @@ REQUIRED_COLUMNS = ("Station_Name", "Lat", "Lon", "Elev", "Year", "Month", "haut
 def read_sheet_rows(spark: SparkSession, paths: str | Sequence[str], width: int) -> DataFrame:
     """Headerless CSV exports of sheets as ``(file, row_idx, cells)``.
 
-    A file may be read in several splits; positions are counted per split and
-    offset by the row counts of the splits before it.
+    Quoted cells may hold line breaks, so a file is read as a whole.  ``width``
+    is the most cells a row may have: one with more stops the job, nothing is
+    cut off.
     """
     names = [f"c{i}" for i in range(width)]
     raw = (
         spark.read.option("header", "false")
-        .schema(", ".join(f"{n} string" for n in names))
+        .option("multiLine", "true")
+        .option("escape", '"')
+        .option("columnNameOfCorruptRecord", "_raw")
+        .schema(", ".join(f"{n} string" for n in [*names, "_beyond"]) + ", _raw string")
         .csv(list(paths) if not isinstance(paths, str) else paths)
-        .select(
-            file_name().alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seen"),
-            F.array(*names).alias("cells"),
-        )
-    )
-    # The first id of a split anchors its rows; the rows of earlier splits of the
-    # same file come before.
-    splits = raw.groupBy("file", "block").agg(F.min("seen").alias("lo"), F.count("*").alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select(
-        "file", "block", "lo", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
-    )
-    return raw.join(starts, ["file", "block"]).select(
-        "file", (F.col("start") + F.col("seen") - F.col("lo")).cast("int").alias("row_idx"), "cells"
     )
+    # Rows of another length than the schema come with their text: shorter ones are usual.
+    many = F.length("_raw") - F.length(F.replace(F.col("_raw"), F.lit(","), F.lit(""))) > width
+    too_wide = F.col("_beyond").isNotNull() | F.coalesce(many, F.lit(False))
+    message = F.concat(F.lit(f"more than {width} cells in a row of "), file_name())
+    cells = F.when(too_wide, F.raise_error(message).cast("array<string>")).otherwise(F.array(*names))
+    seen = F.monotonically_increasing_id()
+    rows = raw.select(file_name().alias("file"), seen.alias("seen"), cells.alias("cells"))
+    first = F.min("seen").over(Window.partitionBy("file"))
+    return rows.select("file", (F.col("seen") - first).cast("int").alias("row_idx"), "cells")
 
 
 def header_score(cells: Column | str, groups: Sequence[Sequence[str]] = HEADER_GROUPS) -> Column:

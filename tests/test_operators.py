@@ -248,7 +248,7 @@ def test_ranked_pairs_classes_and_donors(spark):
     assert got == ["strong", "moderate", "moderate", None, "weak", "weak", None, None]
 
 
-@pytest.mark.parametrize("make", [correlate._block_products, nearest._nearest_in_chunk])
+@pytest.mark.parametrize("make", [correlate._block_products])
 def test_task_functions_need_no_installed_package(tmp_path, make):
     import subprocess
     import sys
@@ -306,20 +306,69 @@ def brute_nearest(entities, stations):
     return out
 
 
-@pytest.mark.parametrize(("chunk", "few"), [(20_000, 64), (7, 0), (7, 64), (1, 3)])
-def test_nearest_equals_brute_force(spark, monkeypatch, chunk, few):
-    monkeypatch.setattr(nearest, "FEW_STATIONS", few)
-    rng = random.Random(2)
-    place = lambda i, p: (f"{p}{i:03d}", rng.choice(["a", "b", "c", "d", None]), float(rng.randint(0, 9)), float(rng.randint(0, 9)))
+@pytest.mark.parametrize("n_stations", [3, 40, 70, 300])
+@pytest.mark.parametrize("spread", [9, 0.05, 4000])
+def test_nearest_equals_brute_force(spark, n_stations, spread):
+    """Ties, NULL and NaN places, many and few stations, dense and far apart: one meaning."""
+    rng = random.Random(n_stations)
+    number = lambda: rng.randint(-9, 9) * spread / 9
+    place = lambda i, p: (f"{p}{i:03d}", rng.choice(["a", "b", "c", "d", None]), number(), number())
     entities = [place(i, "e") for i in range(80)]
-    stations = [s for s in (place(i, "s") for i in range(40)) if s[1] not in ("c", "d")]
+    stations = [s for s in (place(i, "s") for i in range(n_stations)) if s[1] not in ("c", "d")] + [("s999", "b", 1e7, 0.0)]
+    nowhere = [("x", "a", float("nan"), 1.0), ("y", "a", None, 1.0), ("z", "d", 1.0, float("nan")), ("w", "a", float("inf"), 1.0)]
     schema = "id string, cell string, lat double, lon double"
     got = nearest.nearest_join(
-        spark.createDataFrame(entities, schema).withColumnRenamed("id", "k"),
-        spark.createDataFrame(stations, schema).withColumnRenamed("id", "s"),
-        "k", "s", chunk=chunk,
+        spark.createDataFrame(entities + nowhere, schema).withColumnRenamed("id", "k"),
+        spark.createDataFrame(stations + nowhere, schema).withColumnRenamed("id", "s"),
+        "k", "s",
     ).collect()
-    assert {r.k: (r.s, r.selection_mode) for r in got} == brute_nearest(entities, stations)
+    want = brute_nearest(entities, stations)
+    assert {r.k: (r.s, r.selection_mode) for r in got} == want and len(got) == len(want)
+
+
+def test_long_names_cost_their_length(spark):
+    """The rows between the steps stay short whatever the name's length."""
+    table = spark.createDataFrame([("needle", "N", 0), ("abcdefgh", "A", 1), ("zz", "Z", 2)], "alias string, entity string, ord int")
+    long = "x " * 20_000
+    df = spark.createDataFrame([(long + "needle",), (long + "zz" + long,), (long,), ("x" * 255 + "abcdefgh",)], "raw string")
+    got = {r.raw: r.entity for r in names.canonicalize_by_table(df, "raw", table).collect()}
+    assert [got[r.raw] for r in df.collect()] == ["N", "Z", None, "A"]
+
+
+def test_repeated_time_in_a_series_raises(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("b", 1, 1.0)], "k string, t int, v double")
+    with pytest.raises(Exception, match="a time is repeated in series a"):
+        correlate.pairwise_corr(df, "k", F.col("t"), "v", entity_blocks=2).collect()
+
+
+@pytest.mark.parametrize(("grain", "freq"), [("day", "D"), ("hour", "h")])
+def test_climatology_of_finer_grains(spark, grain, freq):
+    """As pandas: season mean, then linear interpolation and the last value carried on."""
+    import pandas as pd
+
+    times = pd.date_range("2001-01-01", periods=90, freq=freq)
+    values = [float(i % 31) if i < 31 or i in (45, 70) else None for i in range(90)]
+    series = pd.Series(values, times)
+    filled = series.fillna(series.groupby(series.index.month).transform("mean")).interpolate(limit_direction="both")
+    kind = "date" if grain == "day" else "timestamp_ntz"
+    rows = [("k", t.date() if grain == "day" else t.to_pydatetime(), v) for t, v in zip(times, values)]
+    df = spark.createDataFrame(rows, f"k string, t {kind}, v double")
+    got = impute.impute_climatology(df, "k", "t", "v", grain=grain).orderBy("t").collect()
+    assert [r.v_imputed for r in got] == pytest.approx(filled.tolist())
+
+
+def test_listed_entities_get_their_months(spark):
+    df = spark.createDataFrame([("a", datetime(2000, 2, 3), 2, 1.0)], "k string, t timestamp_ntz, c int, w double")
+    listed = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    bounds = ("2000-01-01", "2000-03-01")
+    got = reduce.class_fraction(df, "k", "t", "c", "w", bounds, listed).orderBy("k", "month").collect()
+    assert [(r.k, r.month, r.water_fraction, r.water_pixels) for r in got] == [
+        ("a", 1, None, 0), ("a", 2, 1.0, 1), ("a", 3, None, 0), ("b", 1, None, 0), ("b", 2, None, 0), ("b", 3, None, 0),
+    ]
+    got = reduce.monthly_index(df, "k", "t", "w", bounds, entities=listed).orderBy("k", "month").collect()
+    assert [(r.k, r.ndvi) for r in got] == [("a", None), ("a", 0.0001), ("a", None), ("b", None), ("b", None), ("b", None)]
+    empty = reduce.class_fraction(df.limit(0), "k", "t", "c", "w", bounds, listed)
+    assert empty.count() == 6
 
 
 def test_nearest_prefers_own_cell(spark):

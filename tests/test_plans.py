@@ -137,15 +137,13 @@ def test_publish_checks_first(spark, panel, tmp_path):
     out = str(tmp_path / "out")
     with pytest.raises(ValueError, match="check failed"):
         panel_build.publish(built.union(built), out)
-    assert not os.path.exists(out)
+    assert not os.path.exists(out) and not os.path.exists(out + "_unpublished")
     for _ in range(2):  # a second run replaces, it does not add
         listed = {r.file: r.row_count for r in panel_build.publish(built, out).collect()}
-    assert listed == {
-        "outputs/master_dataset_monthly.csv": 35,
-        "outputs/per_river/jiji_monthly.csv": 5,
-        "outputs/per_river/rusizi_monthly.csv": 30,
-        "merge_summary.md": None,
-    }
+    assert {f.rsplit("/", 1)[0] for f in listed} == {"master_dataset_monthly", "per_river/slug=jiji", "per_river/slug=rusizi"}
+    assert all(os.path.exists(f"{out}/{f}") for f in listed)
+    assert sum(n for f, n in listed.items() if "jiji" in f) == 5 and sum(listed.values()) == 70
+    assert not os.path.exists(out + "_unpublished")
     schema = built.schema
     whole = spark.read.schema(schema).option("header", "true").csv(f"{out}/master_dataset_monthly")
     assert quality.check_subset(whole, built).count() == 0
@@ -153,6 +151,34 @@ def test_publish_checks_first(spark, panel, tmp_path):
     assert parts.count() == 5 and "slug" in parts.columns
 
 
+def test_publish_refuses_shared_names_and_lost_levels(spark, panel, tmp_path):
+    built, out = panel[0], str(tmp_path / "out")
+    for name in ("Jiji-", "水"):
+        twin = built.where("river = 'Jiji'").withColumn("river", F.lit(name))
+        with pytest.raises(ValueError, match="check failed"):
+            panel_build.publish(built.union(twin), out)
+        with pytest.raises(Exception, match="no file name of its own"):
+            write.manifest(built.union(twin), "river", "all", "per/{slug}").collect()
+    levels = built.select("river", "date", "water_level")
+    with pytest.raises(ValueError, match="check failed"):
+        panel_build.publish(built, out, levels=levels.withColumn("water_level", F.col("water_level") + 1))
+    assert not os.path.exists(out)
+    assert panel_build.publish(built, out, levels=levels).count() > 0
+
+
+def test_publish_evaluates_the_panel_once(spark, panel, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = panel[0].repartition(2).withColumn("river", counted.asNondeterministic()("river"))
+    panel_build.publish(rows, str(tmp_path / "out"))
+    assert seen.value == panel[0].count()
+
+
 def test_per_entity_rewrite_leaves_others_alone(spark, panel, tmp_path):
     built, out = panel[0], str(tmp_path / "per")
     write.write_per_entity(built, out, "river", "date", built.columns)
@@ -199,7 +225,7 @@ def test_level_fill_and_donors(spark, raw):
     by_river = {r.river: r for r in kept.collect()}
     assert (by_river["Jiji"].missing_before, by_river["Jiji"].missing_after, by_river["Jiji"].pct_filled) == (4, 0, 100.0)
     assert (by_river["RUSIZI"].n_total, by_river["RUSIZI"].pct_filled) == (30, 0.0)
-    pairs, donors = level_fill.donors(dense)
+    pairs, donors = level_fill.donors(dense, 1)
     assert pairs.count() == 0
     assert {r.target: r.donor for r in donors.collect()} == {"Jiji": None, "RUSIZI": None}
 
@@ -226,6 +252,44 @@ def test_rerun_ignores_earlier_results_and_guards_counts(spark, tmp_path):
         files.read_series(spark, f"{tmp_path}/*.csv", expect_files=1)
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    """Another order, a column more, NaN: never by position."""
+    write_csv(f"{tmp_path}/s_a.csv", [["t", "x", "y"], ["1", "1.5", "2.5"], ["2", "NaN", ""]])
+    write_csv(f"{tmp_path}/s_b.csv", [["y", "number", "x", "t"], ["20", "7", "10", "3"]])
+    got = files.read_series(spark, str(tmp_path), key_regex="^s_(.)", key="s", schema="t int, x double, y double")
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 1.5, 2.5), ("a", 2, None, None), ("b", 3, 10.0, 20.0)]
+    write_csv(f"{tmp_path}/s_c.csv", [["t", "x"], ["1", "1"]])
+    with pytest.raises(ValueError, match="missing in"):
+        files.read_series(spark, str(tmp_path), schema="t int, x double, y double")
+
+
+def test_file_without_series_id_stops_the_job(spark, tmp_path):
+    write_csv(f"{tmp_path}/other.csv", [["v"], ["1"]])
+    with pytest.raises(Exception, match="no series id in file name other.csv"):
+        files.read_series(spark, str(tmp_path), key_regex="^s_(.)").collect()
+
+
+def test_sheet_rows_lose_nothing(spark, tmp_path):
+    path = f"{tmp_path}/sheet.csv"
+    with open(path, "w") as f:
+        f.write('title\n"A\nB",1,2000,"say ""x"""\n,,\na,b,c,d,e\n')
+    rows = sheets.read_sheet_rows(spark, path, 6).orderBy("row_idx").collect()
+    assert [[c for c in r.cells if c is not None] for r in rows] == [["title"], ["A\nB", "1", "2000", 'say "x"'], [], list("abcde")]
+    assert [r.row_idx for r in rows] == [0, 1, 2, 3]
+    with pytest.raises(Exception, match="more than 4 cells"):
+        sheets.read_sheet_rows(spark, path, 4).collect()
+
+
+def test_two_files_of_one_river_stop_the_build(spark, tmp_path):
+    head = ["Station_Name", "Lat", "Lon", "Year", "Month", "haut moy", "x"]
+    for name in ("Jiji", "Jiji (2)"):
+        write_csv(f"{tmp_path}/{name}.csv", [head, ["Jiji", "1", "2", "2000", "1", "5", ""], ["Rusizi", "1", "2", "2000", "2", "5", ""]])
+    _, _, suspect = panel_build.river_levels(sheet(spark, f"{tmp_path}/Jiji.csv"))
+    assert [tuple(r) for r in suspect.collect()] == [("Jiji", "Rusizi", "Rusizi")]
+    with pytest.raises(Exception, match="more than one file for Jiji"):
+        panel_build.river_levels(sheet(spark, f"{tmp_path}/*.csv"))[0].collect()
+
+
 def test_file_names_are_decoded(spark, tmp_path):
     name = "Rivière d'été +%20 x"
     write_csv(f"{tmp_path}/{name}.csv", [["v"], ["1"]])
@@ -276,4 +340,4 @@ def test_header_names_and_location(spark):
 def test_missing_column_stops_the_job(spark, tmp_path):
     write_csv(f"{tmp_path}/Jiji.csv", [["Station_Name", "Lat", "Lon", "Year", "Month", "other", "x"], ["a", "1", "2", "2000", "1", "5", ""]])
     with pytest.raises(Exception, match="no column for"):
-        panel_build.river_levels(sheet(spark, f"{tmp_path}/*.csv"))
+        panel_build.river_levels(sheet(spark, f"{tmp_path}/*.csv"))[0].collect()
