@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import ragged, slices
+
 BLANK = "▁"
 #: Most units that a worker remembers; beyond it all are forgotten.
 KNOWN_UNITS = 250_000
@@ -158,7 +160,6 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
-        from .tokens import ragged
 
         index: dict[str, int] = {}
         codes, counts = [], []
@@ -188,7 +189,6 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        from .tokens import slices
 
         pieces = Pieces.of(model)
         for batch in batches:
@@ -230,7 +230,6 @@ def round_trips(docs: DataFrame, model: str) -> DataFrame:
 
         import pyarrow as pa
 
-        from .tokens import slices
 
         pieces = Pieces.of(model)
         for batch in batches:

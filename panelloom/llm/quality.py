@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Workspace
+from .tokens import bytes_of, slices, words_of
 
 #: Most labelled documents that the models are fitted to, and most telling words of each model.
 SAMPLE, TELLING = 20_000, 100
@@ -39,7 +40,6 @@ def features(texts, words: dict[str, int]) -> np.ndarray:
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    from .tokens import bytes_of, words_of
 
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
@@ -112,7 +112,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit to the labelled documents with the least hashes of their ids.  Labels with a null are left out."""
     import pyarrow as pa
 
-    from .tokens import slices
 
     work = Workspace(docs.sparkSession, "quality-model")
     chosen = labels.select(*(F.col(c).cast("long").alias(c) for c in ("doc_id", "quality", "toxic"))).dropna()
@@ -152,7 +151,6 @@ def telling_words(held: DataFrame) -> list[str]:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        from .tokens import slices, words_of
 
         for batch in batches:
             for a, b in slices(batch.column(0)):
@@ -189,7 +187,6 @@ def _with_odds(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        from .tokens import slices
 
         for batch in batches:
             at = batch.schema.get_field_index("_pl_text")
