@@ -120,16 +120,8 @@ UNION ALL SELECT 'supported', count(*), count(value_final) FROM final
 UNION ALL SELECT 'all', count(*), count(value_final) FROM final WHERE fill_source <> 'unresolved_missing'
 """)
 def sensitivity_subsets(spark: SparkSession, sf: str) -> DataFrame:
-    final = _final(spark, sf)
-    result = None
-    for label, levels in (("observed", ()), ("supported", ("benchmark_supported",)), ("all", None)):
-        part = gaps.sensitivity_subset(final, levels).agg(
-            F.lit(label).alias("subset"),
-            F.count("*").alias("n"),
-            F.count("value_final").alias("n_values"),
-        )
-        result = part if result is None else result.unionByName(part)
-    return result
+    subsets = {"observed": (), "supported": ("benchmark_supported",), "all": None}
+    return gaps.subset_counts(_final(spark, sf), subsets)
 
 
 # ---- sample reductions ------------------------------------------------------

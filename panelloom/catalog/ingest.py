@@ -234,7 +234,8 @@ def normalise_hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {tb.LEVELS}, {tb.MODELLED},
-extra AS (SELECT supplier, month, count(*) AS level, sum(cents)::BIGINT AS total FROM lines WHERE line <= 3 GROUP BY ALL)
+extra AS (SELECT supplier, month, count(*) AS level, sum(cents)::BIGINT AS total FROM lines
+          GROUP BY ALL HAVING count(*) > 1)
 SELECT l.supplier, l.month, e.level, e.total
 FROM levels l LEFT JOIN extra e ON e.supplier = l.supplier AND e.month = l.month
 """)
@@ -242,9 +243,9 @@ def upsert_columns(spark: SparkSession, sf: str) -> DataFrame:
     """``level`` is replaced by what the new frame brings, ``total`` is added."""
     extra = (
         tb.lines(spark, sf)
-        .where(F.col("line") <= 3)
         .groupBy("supplier", "month")
         .agg(F.count("*").alias("level"), F.sum("cents").alias("total"))
+        .where("level > 1")
     )
     return shape.upsert_columns(tb.levels(spark, sf), extra, ["supplier", "month"])
 

@@ -101,11 +101,12 @@ def unmatched_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT c_custkey AS customer FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')
 """)
 def unmatched_entities(spark: SparkSession, sf: str) -> DataFrame:
     targets = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"))
-    sources = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer"))
+    urgent = table(spark, sf, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    sources = urgent.select(F.col("o_custkey").alias("customer"))
     return names.unmatched_entities(targets, sources, "customer")
 
 

@@ -113,10 +113,30 @@ def finalise(rows: DataFrame, observed: str, candidates: Mapping[str, str]) -> D
     )
 
 
-def sensitivity_subset(rows: DataFrame, confidences: Sequence[str] | None = ()) -> DataFrame:
-    """Observed rows plus reconstructed rows of the given confidences (None: all of them)."""
+def in_subset(confidences: Sequence[str] | None = ()) -> Column:
+    """Whether a row is observed, or reconstructed with one of the confidences (None: any)."""
     source = F.col("fill_source")
     rebuilt = source == RECONSTRUCTED
     if confidences is not None:
         rebuilt = rebuilt & F.col("fill_confidence").isin(*confidences) if confidences else F.lit(False)
-    return rows.where((source == OBSERVED) | rebuilt)
+    return (source == OBSERVED) | rebuilt
+
+
+def sensitivity_subset(rows: DataFrame, confidences: Sequence[str] | None = ()) -> DataFrame:
+    """Observed rows plus reconstructed rows of the given confidences (None: all of them)."""
+    return rows.where(in_subset(confidences))
+
+
+def subset_counts(
+    rows: DataFrame, subsets: Mapping[str, Sequence[str] | None], value: str = "value_final"
+) -> DataFrame:
+    """``(subset, n, n_values)`` of several subsets in one pass."""
+    counted = [
+        F.struct(
+            F.lit(label).alias("subset"),
+            F.count_if(in_subset(confidences)).alias("n"),
+            F.count_if(in_subset(confidences) & F.col(value).isNotNull()).alias("n_values"),
+        )
+        for label, confidences in subsets.items()
+    ]
+    return rows.agg(F.array(*counted).alias("_all")).select(F.inline("_all"))
