@@ -12,9 +12,10 @@ whole sequence as one where there are fewer words.  Two documents are linked whe
    sizes allow it.
 3. First round: each bucket (in chunks of ``CHUNK``) proposes the strongest spanning forest of its plausible pairs, so
    proposals grow with the members, not with their pairs.  They are confirmed on the full sets, and components form.
-4. Second round: what could still join two components.  Members outside a bucket's largest component meet all members of
-   the bucket, in chunks; every plausible pair of different components is confirmed, once (in the first band it shares).
-   Pairs within a component need no look: they can't change it.
+4. Second round: what could still join two components.  Plausible pairs connect families (those of the forests do).  In a
+   family, members outside its largest component meet all members, in chunks; similarities of different components
+   are counted on the full sets inside the task, which gives links only.  Pairs within a component need no look: they
+   can't change it.
 
 The bands miss a pair of similarity 0.85 with probability (1 - 0.85 ** 5) ** 25 < 1e-6; the slack is five standard
 deviations.  Null or empty text and text of blanks has an empty set and is linked with nothing.  Rows with a null
@@ -76,6 +77,24 @@ def estimates(a: np.ndarray, b: np.ndarray, n: int, bits: int = BITS) -> np.ndar
     return (equal - chance) / (1 - chance)
 
 
+def word_hashes(text: str) -> np.ndarray:
+    import pyarrow as pa
+    import xxhash
+
+    codes, names, _ = words_of(pa.array([text], pa.large_string()))
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in names), np.uint64, len(names))[codes]
+
+
+def shingle_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of WORDS words, or of the whole where there are fewer."""
+    factors = _numbers(WORDS, 3) | np.uint64(1)
+    k = min(WORDS, len(words))
+    total = np.full(len(words) - k + 1 if k else 0, k, np.uint64)
+    for j in range(k):
+        total = _mixed(total + words[j : len(words) - k + 1 + j] * factors[j])
+    return total
+
+
 def _signatures(batches):
     import hashlib
 
@@ -83,7 +102,6 @@ def _signatures(batches):
     import xxhash
 
 
-    factors = _numbers(WORDS, 3) | np.uint64(1)
     for whole in batches:
         for a, b in slices(whole.column(2)):
             codes, names, counts = words_of(whole.column(2).slice(a, b - a))
@@ -94,11 +112,7 @@ def _signatures(batches):
                 if not len(mine):
                     row = (0, None, None, None)
                 else:
-                    k = min(WORDS, len(mine))
-                    total = np.full(len(mine) - k + 1, k, np.uint64)
-                    for j in range(k):
-                        total = _mixed(total + mine[j : len(mine) - k + 1 + j] * factors[j])
-                    shingles = np.unique(total)
+                    shingles = np.unique(shingle_hashes(mine))
                     values = least_values(shingles, BANDS * ROWS)
                     keys = np.zeros(BANDS, np.uint64)
                     for column in values.reshape(BANDS, ROWS).T.astype(np.uint64):
@@ -181,26 +195,52 @@ def _forests(threshold: float):
     return run
 
 
+def _sets(batches):
+    """The sorted shingle hashes of each document."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for text in batch.column(1):
+            words = word_hashes(text.as_py())
+            out.append(np.unique(shingle_hashes(words)).astype("<u8").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "set"])
+
+
 def _crossings(threshold: float):
-    """Plausible pairs of different components between the minor and all members of two chunks of a bucket."""
+    """Links of different components between the minor and all members of two chunks of a family, on the full sets.
+
+    Only hashes that both sides hold are counted, by products of 0/1 matrices.  Of a row's links to one component, one is
+    given: the rest tell nothing new.
+    """
+
+    def side(pdf):
+        sets = [np.frombuffer(x, "<u8") for x in pdf["set"]]
+        return pdf["node"].to_numpy(), pdf["comp"].to_numpy(), np.array([len(x) for x in sets]), sets
+
+    def dense(sets, hashes):
+        out = np.zeros((len(sets), len(hashes)), np.float32)
+        for i, x in enumerate(sets):
+            at = np.searchsorted(hashes, x)
+            at[at == len(hashes)] = 0
+            out[i, at[hashes[at] == x]] = 1
+        return out
 
     def run(batches):
-        for pdf in _grouped(batches, ["bucket", "left", "right"]):
+        for pdf in _grouped(batches, ["family", "left", "right"]):
             rows, columns = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
             if not len(rows) or not len(columns):
                 continue
-            (na, sa, ga), (nb, sb, gb) = _arrays(rows), _arrays(columns)
-            ok = _plausible(sa, sb, estimates(ga, gb, BANDS * ROWS), threshold)
-            ca, cb = rows["comp"].to_numpy(), columns["comp"].to_numpy()
-            ok &= ca[:, None] != cb[None]
-            minor = (columns["minor"].to_numpy() == 1)[None]
-            ok &= ~minor | (na[:, None] < nb[None])  # two minor members meet twice
-            keys_a, keys_b = np.stack(list(rows["bands"])), np.stack(list(columns["bands"]))
-            band = int(pdf["band"].iloc[0])
-            for i, j in zip(*np.nonzero(ok)):
-                ok[i, j] = not (keys_a[i, :band] == keys_b[j, :band]).any()
+            (na, ca, sa, xa), (nb, cb, sb, xb) = side(rows), side(columns)
+            shared = np.intersect1d(np.concatenate(xa), np.concatenate(xb))
+            both = np.zeros((len(na), len(nb)), np.int64)
+            for k in range(0, len(shared), 4096):
+                hashes = shared[k : k + 4096]
+                both += (dense(xa, hashes) @ dense(xb, hashes).T).astype(np.int64)
+            ok = (100 * both >= threshold * (sa[:, None] + sb[None] - both)) & (ca[:, None] != cb[None])
             i, j = np.nonzero(ok)
-            yield _pairs_batch(na[i], nb[j])
+            pick = np.unique(np.stack([i, cb[j]]), axis=1, return_index=True)[1]
+            yield _pairs_batch(na[i[pick]], nb[j[pick]])
 
     return run
 
@@ -290,28 +330,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 85) -> DataFrame:
     links = confirmed(proposed, "links-1")
     comps = work.settle(components(work, links, "stars-1"), "components-1")
 
-    # buckets of two were proposed whole; larger ones are open where more than one component meets
-    placed = members.where("held > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
-    major = sizes.groupBy("bucket").agg(F.max_by("comp", "m").alias("major"), F.count(F.lit(1)).alias("kinds"), (F.sum("m") - F.max("m")).alias("minors"))
-    wide = placed.join(major.where("kinds > 1"), "bucket")
-    wide = wide.withColumn("minor", (F.col("comp") != F.col("major")).cast("int"))
-    wide = wide.withColumn("rows", F.ceil(F.col("minors") / CHUNK))
-    wide = wide.withColumn("columns", F.ceil(F.col("held") / CHUNK))
+    # families: what plausible pairs connect.  Chunks of one bucket were not compared: their members are taken together
+    leader = members.where(F.col("held") > CHUNK).groupBy("bucket").agg(F.min("node").alias("a"))
+    split = members.join(leader, "bucket").select("a", F.col("node").alias("b")).where("a < b")
+    families = components(work, proposed.select("a", "b").unionByName(split), "families")
+    families = work.settle(families.select("node", F.col("comp").alias("family")), "family")
+    families = families.unionByName(families.select(F.col("family").alias("node"), "family").distinct())
+    # those of two were proposed whole; larger ones are open where more than one component meets
+    placed = families.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m"))
+    major = sizes.groupBy("family").agg(
+        F.max_by("comp", "m").alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("held"), (F.sum("m") - F.max("m")).alias("minors")
+    )
+    wide = placed.join(major.where("kinds > 1 and held > 2"), "family")
+    wide = wide.withColumn("rows", F.ceil(F.col("minors") / CHUNK)).withColumn("columns", F.ceil(F.col("held") / CHUNK))
     where, zero = F.xxhash64("node"), F.lit(0).cast("long")
-    as_rows = wide.where("minor = 1").select(
+    as_rows = wide.where(F.col("comp") != F.col("major")).select(
         "*", F.lit(0).alias("role"), F.pmod(where, "rows").alias("left"), F.explode(F.sequence(zero, F.col("columns") - 1)).alias("right")
     )
     as_columns = wide.select(
         "*", F.lit(1).alias("role"), F.explode(F.sequence(zero, F.col("rows") - 1)).alias("left"), F.pmod(where, "columns").alias("right")
     )
-    keys = ["bucket", "left", "right"]
-    meet = as_rows.unionByName(as_columns).select(*keys, "role", "minor", "band", "node", "comp")
-    meet = meet.join(nodes.select(F.col("row").alias("node"), "n", "sig", "bands"), "node")
-    crossing = meet.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_crossings(threshold), "a long, b long")
-    crossing = work.settle(crossing.join(proposed, ["a", "b"], "left_anti"), "crossing")
-    links = links.unionByName(confirmed(crossing, "links-2"))
-    comps = components(work, links, "stars-2")
+    keys = ["family", "left", "right"]
+    meet = as_rows.unionByName(as_columns).select(*keys, "role", "node", "comp")
+    sets = work.settle(texts.hint("merge").join(wide.select("node"), "node", "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
+    meet = meet.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
+    crossing = work.settle(meet.mapInArrow(_crossings(threshold), "a long, b long"), "links-2")
+    comps = components(work, links.unionByName(crossing), "stars-2")
 
     # the smallest document of each component
     known = rows.join(classes, "cls", "left").join(comps, "node", "left")
