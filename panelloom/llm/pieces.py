@@ -26,7 +26,7 @@ from .tokens import ragged, slices
 
 BLANK = "▁"
 #: Most units that a worker remembers; beyond it all are forgotten.
-KNOWN_UNITS = 250_000
+KNOWN_UNITS = 600_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNIT = re.compile(f"{BLANK}+[^{BLANK}]*")
 
