@@ -211,6 +211,22 @@ def test_climate_fill(panel):
     assert counts["Rusizi"].n_total == 30 and counts["Rusizi"].precip_filled == 16
 
 
+def test_climate_fill_from_files_to_files(spark, panel, tmp_path):
+    built = panel[0]
+    write.write_panel(built.where("river = 'Jiji'"), f"{tmp_path}/in/jiji", "river", "date", built.columns)
+    write.write_panel(built.where("river = 'Rusizi'"), f"{tmp_path}/in/rusizi", "river", "date", built.columns)
+    write_csv(f"{tmp_path}/in/jiji/jiji_imputed_monthly.csv", [["river"], ["old"]])
+    paths, out = [f"{tmp_path}/in/jiji", f"{tmp_path}/in/rusizi"], f"{tmp_path}/out"
+    counts = {r.river: r for r in climate_fill.fill_files(spark, paths, out).collect()}
+    assert counts["Rusizi"].n_total == 30 and counts["Rusizi"].precip_filled == 16 and set(counts) == {"Jiji", "Rusizi"}
+    want = climate_fill.in_place(climate_fill.fill_climate(built))
+    whole = spark.read.schema(want.schema).option("header", "true").csv(f"{out}/master_dataset_monthly_imputed")
+    assert whole.columns == want.columns and whole.count() == want.count()
+    assert whole.where("precip_imputed").count() == want.where("precip_imputed").count()
+    assert sorted(os.listdir(f"{out}/per_river_imputed"))[-2:] == ["slug=jiji", "slug=rusizi"]
+    assert not os.path.exists(out + "_unpublished")
+
+
 def test_level_fill_and_donors(spark, raw):
     dense = level_fill.dense_levels(sheet(spark, f"{raw}/levels/*.csv")).cache()
     jiji = dense.where("river = 'Jiji'").orderBy("Date").collect()
