@@ -11,8 +11,8 @@ Every byte is removed that a string of ``SPAN`` bytes covers which also starts a
    sorted again, by packed keys), common prefixes of neighbours from Kasai's theorem (a value is read off its predecessor
    unless the preceding bytes differ).  Windows in a run of common prefixes of ``SPAN`` or more are repeated.
 4. Hot anchors.  An anchor that occurs too often for one shard is dealt to several.  Each shard tells its own repeats and
-   sends a digest of every distinct window; digests are sorted by range, and those found twice by binary search are
-   repeated across shards.  So no group has to fit one task.
+   sends the sorted digests of its distinct windows, cut into as many ranges as the anchor has shards.  A range's digests of all
+   shards meet in one task, which holds about one shard's worth, and are sought in each other by binary search.
 5. Repeated windows go back to their documents as intervals; the bytes they cover are cut out.
 
 Null text is empty.  Texts below ``SPAN`` bytes are never touched.  Repeated rows are documents of their own (their
@@ -264,7 +264,21 @@ def _slices(span: int, with_bytes: bool):
     return run
 
 
-_FOUND = "anchor long, digest binary, part int, first array<int>, last array<int>, places array<int>, known array<boolean>, windows array<binary>"
+_FOUND = "anchor long, digest binary, first array<int>, last array<int>, bucket int, run binary"
+
+
+def _packed_run(keys: np.ndarray, owner: np.ndarray, at: np.ndarray, known: np.ndarray, digests: list[bytes]) -> bytes:
+    """Distinct windows of a shard in the order of their digests: the slice and place of each, and whether it is known."""
+    head = np.array([len(keys), len(digests)], "<i8").tobytes()
+    return b"".join([head, keys.tobytes(), owner.astype("<i4").tobytes(), at.astype("<i4").tobytes(), known.astype("u1").tobytes(), *digests])
+
+
+def _unpacked_run(data: bytes):
+    n, m = np.frombuffer(data, "<i8", 2).tolist()
+    keys, owner = np.frombuffer(data, "S16", n, 16), np.frombuffer(data, "<i4", n, 16 + 16 * n)
+    at, known = np.frombuffer(data, "<i4", n, 16 + 20 * n), np.frombuffer(data, "u1", n, 16 + 24 * n)
+    tail = 16 + 25 * n
+    return keys, owner, at, known, [data[tail + 16 * i : tail + 16 * i + 16] for i in range(m)]
 
 
 def _shards(span: int, shard: int):
@@ -278,7 +292,7 @@ def _shards(span: int, shard: int):
 
         def emit():
             ints = pa.list_(pa.int32())
-            kinds = (pa.int64(), pa.binary(), pa.int32(), ints, ints, ints, pa.list_(pa.bool_()), pa.list_(pa.binary()))
+            kinds = (pa.int64(), pa.binary(), ints, ints, pa.int32(), pa.binary())
             names = [c.split()[0] for c in _FOUND.split(", ")]
             batch = pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=names)
             out.clear()
@@ -287,22 +301,30 @@ def _shards(span: int, shard: int):
         def finish(groups):
             """Groups of one anchor each: (anchor, part, parts, [(digest, count, slice)])."""
             alone = [g for g in groups if len(g[3]) == 1 and g[3][0][1] > 1 and g[2] == 1]
-            for anchor, part, _, ((digest, _, data),) in alone:
-                out.append((anchor, digest, part, [0], [len(data) - span + 1], None, None, None))
+            for anchor, _, _, ((digest, _, data),) in alone:
+                out.append((anchor, digest, [0], [len(data) - span + 1], None, None))
             rest = [g for g in groups if not (len(g[3]) == 1 and g[3][0][1] > 1 and g[2] == 1)]
             flat = [(g, s) for g in rest for s in g[3]]
             if not flat:
                 return
+            shared: dict = {}
             for (g, s), (flags, stands) in zip(flat, repeated_windows([s[2] for _, s in flat], [s[1] for _, s in flat], span)):
                 first, last = _intervals(flags)
-                places = known = windows = None
+                if len(first):
+                    out.append((g[0], s[0], first.tolist(), last.tolist(), None, None))
                 if g[2] > 1 and stands.any():  # other shards may have the same windows
-                    places = np.flatnonzero(stands)
-                    known = flags[places].tolist()
-                    windows = [xxhash.xxh3_128_digest(s[2][i : i + span]) for i in places]
-                    places = places.tolist()
-                if len(first) or windows:
-                    out.append((g[0], s[0], g[1], first.tolist(), last.tolist(), places, known, windows))
+                    shared.setdefault(g[0], (g[2], []))[1].append((s, np.flatnonzero(stands), flags))
+            for anchor, (parts, mine) in shared.items():
+                keys = np.array([xxhash.xxh3_128_digest(s[2][i : i + span]) for s, places, _ in mine for i in places], "S16")
+                owner = np.repeat(np.arange(len(mine)), [len(places) for _, places, _ in mine])
+                at = np.concatenate([places for _, places, _ in mine])
+                known = np.concatenate([flags[places] for _, places, flags in mine])
+                order = np.argsort(keys, kind="stable")
+                bucket = keys[order].view("u1").reshape(-1, 16)[:, 0].astype(np.int64) * parts // 256
+                for b in np.unique(bucket):
+                    where = order[bucket == b]
+                    run_ = _packed_run(keys[where], owner[where], at[where], known[where], [s[0] for s, _, _ in mine])
+                    out.append((anchor, None, None, None, int(b), run_))
 
         groups: list = []
         size = 0
@@ -329,31 +351,22 @@ def _shards(span: int, shard: int):
     return run
 
 
-def _found_twice(batches):
-    """Of window digests in sorted order, the places of those that occur more than once, by binary search.  Those that
-    their own shard knows are repeated are left out."""
+def _merge(table):
+    """Windows of one anchor that several shards have: each shard's sorted digests are sought in those of the others by binary
+    search.  Those that their own shard knows are repeated are left out."""
     import pyarrow as pa
 
-    held: list = []
-
-    def search(rows, final):
-        keys = np.array([r[0] for r in rows], dtype="S16")
-        upto = len(rows)
-        if not final:  # the last digest may go on
-            upto = int(np.searchsorted(keys, keys[-1], "left"))
-        many = np.searchsorted(keys, keys[:upto], "right") - np.searchsorted(keys, keys[:upto], "left") > 1
-        found = [rows[i] for i in np.flatnonzero(many) if not rows[i][4]]
-        kinds = (pa.int64(), pa.binary(), pa.int32())
-        batch = pa.RecordBatch.from_arrays([pa.array([f[k + 1] for f in found], kind) for k, kind in enumerate(kinds)], names=["anchor", "digest", "at"])
-        return batch, rows[upto:]
-
-    for batch in batches:
-        held += list(zip(*(batch.column(c).to_pylist() for c in ("window", "anchor", "digest", "at", "known"))))
-        if held:
-            done, held = search(held, False)
-            yield done
-    if held:
-        yield search(held, True)[0]
+    runs = [_unpacked_run(x) for x in table.column("run").to_pylist()]
+    every = np.sort(np.concatenate([r[0] for r in runs]))
+    digest, place = [], []
+    for keys, owner, at, known, digests in runs:  # distinct within a run
+        twice = np.searchsorted(every, keys, "right") - np.searchsorted(every, keys, "left") > 1
+        for i in np.flatnonzero(twice & (known == 0)):
+            digest.append(digests[owner[i]])
+            place.append(int(at[i]))
+    anchor = table.column("anchor")[0].as_py()
+    columns = [pa.array([anchor] * len(place), pa.int64()), pa.array(digest, pa.binary()), pa.array(place, pa.int32())]
+    return pa.Table.from_arrays(columns, names=["anchor", "digest", "at"])
 
 
 def _cut(span: int):
@@ -399,13 +412,10 @@ def covered(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     slices = slices.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "digest")
     found = work.settle(slices.mapInArrow(_shards(SPAN, SHARD), _FOUND), "found")
 
-    own = found.select("anchor", "digest", F.explode(F.arrays_zip("first", "last")).alias("w"))
+    own = found.where("digest is not null").select("anchor", "digest", F.explode(F.arrays_zip("first", "last")).alias("w"))
     own = own.select("anchor", "digest", F.col("w.first").alias("first"), F.col("w.last").alias("last"))
-    across = found.where("windows is not null").select(
-        "anchor", "digest", F.inline(F.arrays_zip(F.col("places").alias("at"), "known", F.col("windows").alias("window")))
-    )
-    across = across.repartitionByRange(F.col("window"), F.col("anchor")).sortWithinPartitions("window")
-    across = across.mapInArrow(_found_twice, "anchor long, digest binary, at int")
+    across = found.where("run is not null").select("anchor", "bucket", "run").groupBy("anchor", "bucket")
+    across = across.applyInArrow(_merge, "anchor long, digest binary, at int")
     across = across.select("anchor", "digest", F.col("at").alias("first"), (F.col("at") + 1).alias("last"))
     windows = own.unionByName(across).groupBy("anchor", "digest").agg(F.collect_list(F.struct("first", "last")).alias("w"))
 
