@@ -12,6 +12,9 @@ from panelloom.llm import exact_dedup, near_dedup, packing, pii, quality
 from panelloom.llm.queries import vocabulary
 from panelloom.llm.storage import Workspace
 
+#: Per cent of shared word shingles from which the stage takes documents for near duplicates (the query op7 takes 85).
+NEAR = 80
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
@@ -24,8 +27,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id."""
-    return near_dedup.drop_near_copies(docs)
+    """Of each component of near duplicates, the document with the smallest id.  Near is a similarity of ``NEAR`` per cent or more.
+
+    The bands miss a pair of similarity exactly 0.80 with probability (1 - 0.8 ** 5) ** 25, about 5e-5; more alike, less.
+    """
+    return near_dedup.drop_near_copies(docs, threshold=NEAR)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

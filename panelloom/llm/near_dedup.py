@@ -8,7 +8,7 @@ whole sequence as one where there are fewer words.  Two documents are linked whe
    every value only ``BITS`` low bits are retained, packed by bit planes.  Documents with equal sets form one class, and
    only one of a class goes on.
 2. Within a bucket, similarity is estimated by bit counts: the share of equal b-bit values, corrected for values that
-   are equal by chance.  A pair is plausible if its estimate is no more than ``SLACK`` below the threshold and the set
+   are equal by chance.  A pair is plausible if its estimate is no more than ``slack`` below the threshold and the set
    sizes allow it.
 3. First round: each bucket (in chunks of ``CHUNK``) proposes the strongest spanning forest of its plausible pairs, so
    proposals grow with the members, not with their pairs.  They are confirmed on the full sets, and components form.
@@ -17,8 +17,8 @@ whole sequence as one where there are fewer words.  Two documents are linked whe
    are counted on the full sets inside the task, which gives links only.  Pairs within a component need no look: they
    can't change it.
 
-The bands miss a pair of similarity 0.85 with probability (1 - 0.85 ** 5) ** 25 < 1e-6; the slack is five standard
-deviations.  Null or empty text and text of blanks has an empty set and is linked with nothing.  Rows with a null
+The bands miss a pair of similarity 0.85 with probability (1 - 0.85 ** 5) ** 25 < 1e-6, one of 0.80 (the pipeline's stage)
+with about 5e-5; the slack is five standard deviations at the threshold.  Null or empty text and text of blanks has an empty set and is linked with nothing.  Rows with a null
 ``doc_id`` take part; as a component's id null is greater than any number.  Repeated rows are of one class.
 The documents must be a table whose rows come in the same order when it is read again (files).
 """
@@ -33,7 +33,6 @@ from .storage import Workspace
 from .tokens import slices, words_of
 
 BANDS, ROWS, BITS, WORDS = 25, 5, 4, 5
-SLACK = 0.16
 CHUNK = 512
 #: Stands in for a null ``doc_id`` where the smallest is sought.
 GREATEST = 2**63 - 1
@@ -146,9 +145,16 @@ def _grouped(batches, by: list[str]):
         yield held[0]
 
 
+def slack(threshold: float) -> float:
+    """Five standard deviations of the estimate for a pair of just that similarity."""
+    chance = 2.0**-BITS
+    equal = threshold / 100 * (1 - chance) + chance
+    return 5 * (equal * (1 - equal) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
+
+
 def _plausible(sizes_a, sizes_b, similar, threshold):
     low, high = np.minimum(sizes_a[:, None], sizes_b[None]), np.maximum(sizes_a[:, None], sizes_b[None])
-    return (similar >= threshold / 100 - SLACK) & (100 * low >= threshold * high)
+    return (similar >= threshold / 100 - slack(threshold)) & (100 * low >= threshold * high)
 
 
 def _arrays(pdf):

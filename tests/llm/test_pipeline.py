@@ -61,3 +61,18 @@ def test_empty_documents(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.count() == 0
+
+
+def test_near_copies_from_80_per_cent(docs_of):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:94], *(f"x{i}" for i in range(10))]))]  # 90 shared of 110: 0.818
+    docs += [(3, " ".join([f"y{i}" for i in range(104)])), (4, " ".join([*(f"y{i}" for i in range(92)), *(f"z{i}" for i in range(12))]))]  # 88 of 112
+    kept = {r.doc_id for r in corpus_pipeline.apart(None, docs_of(docs), SF).collect()}
+    assert kept == {d for d, _, c in near(docs, 80) if d == c} == {1, 3, 4}
+
+
+def test_near_stage_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {r.doc_id for r in corpus_pipeline.apart(spark, docs, SF).collect()}
+    assert kept == {d for d, _, c in near(rows, 80) if d == c} < {d for d, _, c in near(rows, 85) if d == c}
