@@ -11,6 +11,7 @@ stands for one text only, the state's entry holds; where texts merely share a di
 
 Null counts as empty, and empty texts equal each other.  A null ``doc_id`` is smaller than any other.  Of repeated rows
 (the same ``doc_id`` and text) all count in ``group_size``, and one of them is kept.  An empty table gives no rows.
+The documents are read once and written with their locators; all later steps start from that table, so locators stay with their rows.
 """
 
 from __future__ import annotations
@@ -47,12 +48,13 @@ def sha256(text: Column) -> Column:
 
 
 def _arrivals(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """Identifier, digest and locator (file and row) of every document."""
+    """Identifier, digest, locator (file and row) and columns of every document."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"),
         digest(normalised(F.col("text"))).alias("digest"),
         F.input_file_name().alias("file"),
         F.monotonically_increasing_id().alias("row"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
     )
 
 
@@ -109,17 +111,16 @@ def decisions(docs: DataFrame, digest: Callable[[Column], Column] = sha256, file
 
     ``digest``: of the normalised text, as a string; any function gives right results, a poor one more hits to look at.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "exact-dedup")
-    arrivals = work.settle(_arrivals(docs, digest), "arrivals")
-    hits = work.settle(stream(spark, work, f"{work.path}/arrivals", arrivals.schema, files_per_trigger), "entries")
+    work = Workspace(docs.sparkSession, "exact-dedup")
+    return _decided(work, work.settle(_arrivals(docs.select("doc_id", "text"), digest), "arrivals"), files_per_trigger)
+
+
+def _decided(work: Workspace, arrivals: DataFrame, files_per_trigger: int = 1000) -> DataFrame:
+    narrow = arrivals.drop("doc").schema
+    hits = work.settle(stream(work.spark, work, f"{work.path}/arrivals", narrow, files_per_trigger), "entries")
 
     # the full bytes of all hits, grouped by themselves
-    contents = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"),
-        F.monotonically_increasing_id().alias("row"),
-        normalised(F.col("text")).alias("content"),
-    ).withColumn("digest", digest(F.col("content")))
+    contents = arrivals.select("id", "row", normalised(F.col("doc.text")).alias("content"), "digest")
     # as a shuffle at every size: the hits grow with the corpus
     contents = _by_digest(contents, hits.select("digest"), "left_semi")
     texts = work.settle(_entries(contents, "digest", "content").withColumn("other", F.xxhash64("content")).drop("content"), "texts")
@@ -154,5 +155,7 @@ def decisions(docs: DataFrame, digest: Callable[[Column], Column] = sha256, file
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents of which ``decisions`` keeps the row, with all their columns."""
-    kept = decisions(docs).where("kept").select(F.col("row").alias("_pl_row"))
-    return docs.withColumn("_pl_row", F.monotonically_increasing_id()).hint("merge").join(kept, "_pl_row", "left_semi").drop("_pl_row")
+    work = Workspace(docs.sparkSession, "exact-dedup")
+    arrivals = work.settle(_arrivals(docs, sha256), "arrivals")
+    kept = _decided(work, arrivals).where("kept").select("row")
+    return arrivals.select("row", "doc").hint("merge").join(kept, "row", "left_semi").select("doc.*")

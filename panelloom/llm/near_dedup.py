@@ -20,7 +20,7 @@ whole sequence as one where there are fewer words.  Two documents are linked whe
 The bands miss a pair of similarity 0.85 with probability (1 - 0.85 ** 5) ** 25 < 1e-6, one of 0.80 (the pipeline's stage)
 with about 5e-5; the slack is five standard deviations at the threshold.  Null or empty text and text of blanks has an empty set and is linked with nothing.  Rows with a null
 ``doc_id`` take part; as a component's id null is greater than any number.  Repeated rows are of one class.
-The documents must be a table whose rows come in the same order when it is read again (files).
+The documents are read once and written with their row ids; all later steps start from that table, so ids stay with their rows.
 """
 
 from __future__ import annotations
@@ -304,12 +304,20 @@ def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = 85) -> DataFrame:
     """One row per document: row (place in the table), doc_id, n_shingles, component_id (smallest ``doc_id`` reached), first
     (whether it is the row that stands for its component)."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "near-dedup")
-    table = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(GREATEST)).alias("id"),
-        F.col("text").cast("string").alias("text"),
+    work = Workspace(docs.sparkSession, "near-dedup")
+    return _linked(work, _numbered(work, docs.select("doc_id", "text")), threshold)
+
+
+def _numbered(work: Workspace, docs: DataFrame) -> DataFrame:
+    """(row, doc): an id that stays with the row, and its columns."""
+    return work.settle(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "table")
+
+
+def _linked(work: Workspace, numbered: DataFrame, threshold: float) -> DataFrame:
+    table = numbered.select(
+        "row",
+        F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(GREATEST)).alias("id"),
+        F.col("doc.text").cast("string").alias("text"),
     )
     schema = "row long, id long, n long, cls binary, bands array<long>, sig binary"
     rows = work.settle(table.mapInArrow(_signatures, schema), "signatures")
@@ -378,5 +386,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 85) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, threshold: float = 85) -> DataFrame:
     """One document of each component, with all its columns."""
-    first = near_duplicates(docs, threshold).where("first").select(F.col("row").alias("_pl_row"))
-    return docs.withColumn("_pl_row", F.monotonically_increasing_id()).hint("merge").join(first, "_pl_row", "left_semi").drop("_pl_row")
+    work = Workspace(docs.sparkSession, "near-dedup")
+    numbered = _numbered(work, docs)
+    first = _linked(work, numbered, threshold).where("first").select("row")
+    return numbered.hint("merge").join(first, "row", "left_semi").select("doc.*")

@@ -16,8 +16,8 @@ Every byte is removed that a string of ``SPAN`` bytes covers which also starts a
 5. Repeated windows go back to their documents as intervals; the bytes they cover are cut out.
 
 Null text is empty.  Texts below ``SPAN`` bytes are never touched.  Repeated rows are documents of their own (their
-strings start elsewhere).  A null ``doc_id`` is carried along.  An empty table gives no rows.  The documents must be a
-table whose rows come in the same order when it is read again (files).
+strings start elsewhere).  A null ``doc_id`` is carried along.  An empty table gives no rows.  The documents are
+read once and written with their row ids; all later steps start from that table.
 """
 
 from __future__ import annotations
@@ -397,9 +397,10 @@ def _cut(span: int):
     return run
 
 
-def covered(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(row, text) of the documents that may have repeats, and (row, cover): intervals of bytes to remove, as a and b."""
-    table = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def covered(table: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(row, text) of the documents that may have repeats, and (row, cover): intervals of bytes to remove, as a and b.
+
+    ``table``: row and text, written before, so that ids stay with their rows.  Nothing reads it later."""
     counts = table.select("text").mapInArrow(_count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("occurs"))
     counts = work.settle(counts.where("occurs > 1"), "anchors")
     stretches = table.mapInArrow(_stretches, "row long, start long, n long, anchor long")
@@ -428,13 +429,16 @@ def covered(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     work = Workspace(docs.sparkSession, "suffix-dedup")
-    texts, cover = covered(docs, work)
-    cut = texts.hint("merge").join(cover, "row").mapInArrow(_cut(SPAN), "row long, n_removed long, n_spans long, kept string")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"),
+    table = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    table = work.settle(table, "table")
+    rows = table.select(
+        "row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"),
     )
+    rows = work.settle(rows, "rows")
+    texts, cover = covered(table.select("row", "text"), work)
+    work.drop("table")
+    cut = texts.hint("merge").join(cover, "row").mapInArrow(_cut(SPAN), "row long, n_removed long, n_spans long, kept string")
     zero = F.lit(0).cast("long")
     return rows.join(cut, "row", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
