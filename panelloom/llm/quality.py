@@ -10,6 +10,8 @@
 3. The odds of a document under the global share are carried over to the share of its path; it is kept if it is then
    more likely good than not.
 
+``documents`` has no url: by default ``source`` stands for the host and ``lang`` for the path (arguments of ``classify``).
+
 Null text is empty.  Null hosts and paths are sites of their own.  Without labels of both kinds a model knows nothing and
 says so (the share of its label, or never); an empty table gives no rows.  Repeated rows count as often as they occur.
 """
