@@ -1,20 +1,16 @@
-"""The queries op1 .. op10 over the given tables, and the SQL of those that SQL can express."""
+"""The queries op1 .. op13 over the given tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, pieces, pii, quality, suffix_dedup, token_store, top_inner, warc
+from . import bpe_trie, exact_dedup, near_dedup, packing, pieces, pii, quality, suffix_dedup, token_store, top_inner, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-#: Where the vocabulary files of the public tokenizers lie.
-TOKENIZERS = os.environ.get("PANELLOOM_TOKENIZERS", "/opt/tokenizers")
-
 
 def query(sql: str | None = None):
     def register(fn):
@@ -27,7 +23,8 @@ def query(sql: str | None = None):
 
 
 def vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where a vocabulary file of the public tokenizers lies."""
+    return public_tokenizers.path(name)
 
 
 @query()
@@ -159,3 +156,14 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query()
+def op13_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = bpe_trie.round_trip(docs, vocabulary("word_bpe_49k.json"))
+    decimal = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
