@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, exact_dedup, near_dedup, packing, pieces, pii, quality, suffix_dedup, token_store, top_inner, warc
+from . import bpe_trie, exact_dedup, merkle, near_dedup, packing, pieces, pii, quality, suffix_dedup, token_store, top_inner, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -158,6 +158,77 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+_FIELD_SQL = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ["doc_id", "source", "lang", n_chars, "text"]
+    return f"sha256({' || '.join(map(_FIELD_SQL.format, fields))})"
+
+
+#: The unsigned crc32 of ASCII text: one step for each byte, from a table of the steps of all bytes.
+_CRC_TABLE_SQL = """crc_steps AS (
+  SELECT list(v ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)))"""
+
+
+def _crc_sql(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"""
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE_SQL},
+leaves AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+         CASE WHEN {_crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} END AS changed
+  FROM documents, crc_steps
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), nodes AS (
+  SELECT lang, 0 AS level, rank, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT lang, level + 1, rank // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY rank))
+  FROM nodes WHERE n > 1 GROUP BY lang, level, rank // 2, n
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place, count(*) OVER () AS langs FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, place, langs, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 2, (langs + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM tops WHERE langs > 1 GROUP BY level, place // 2, langs
+), siblings AS (
+  SELECT p.id, 0 AS top, b.level, p.rank >> b.level & 1 AS digit, b.h
+  FROM placed p JOIN nodes b ON b.lang IS NOT DISTINCT FROM p.lang AND b.n > 1 AND b.rank = xor(p.rank >> b.level, 1)
+  UNION ALL
+  SELECT p.id, 1, b.level, s.place >> b.level & 1, b.h
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN tops b ON b.langs > 1 AND b.place = xor(s.place >> b.level, 1)
+), steps_up AS (
+  SELECT p.id, 0 AS top, nd.level FROM placed p JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) nd ON nd.lang IS NOT DISTINCT FROM p.lang
+  UNION ALL SELECT p.id, 1, t.level FROM placed p, (SELECT DISTINCT level FROM tops WHERE langs > 1) t
+), ways AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY top, level) AS step, digit, h
+  FROM steps_up LEFT JOIN siblings USING (id, top, level)
+), folded AS (
+  SELECT id, 0 AS step, coalesce(changed, leaf) AS h FROM placed
+  UNION ALL
+  SELECT f.id, f.step + 1, sha256(CASE WHEN w.h IS NULL THEN f.h WHEN w.digit = 1 THEN w.h || f.h ELSE f.h || w.h END)
+  FROM folded f JOIN ways w ON w.id = f.id AND w.step = f.step + 1
+)
+SELECT p.doc_id, p.leaf, s.subroot, r.h AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN tops r ON r.langs = 1
+LEFT JOIN (SELECT id, string_agg(h, '' ORDER BY step) AS proof FROM ways GROUP BY id) q ON q.id = p.id
+JOIN (SELECT id, arg_max(h, step) AS h FROM folded GROUP BY id) f ON f.id = p.id
+"""
+
+
+@query(MERKLE_SQL)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.prove(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    proof = F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 @query()
 def op13_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
