@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, exact_dedup, merkle, near_dedup, packing, pieces, pii, quality, suffix_dedup, token_store, top_inner, warc
+from . import bpe_trie, exact_dedup, merkle, near_dedup, packing, pieces, pii, quality, resample, suffix_dedup, token_store, top_inner, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -158,15 +158,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-_FIELD_SQL = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
-
-
-def _leaf_sql(n_chars: str) -> str:
-    fields = ["doc_id", "source", "lang", n_chars, "text"]
-    return f"sha256({' || '.join(map(_FIELD_SQL.format, fields))})"
-
-
-#: The unsigned crc32 of ASCII text: one step for each byte, from a table of the steps of all bytes.
+#: The unsigned crc32 of a text's UTF-8 bytes: one step for each byte, from a table of the steps of all bytes.
 _CRC_TABLE_SQL = """crc_steps AS (
   SELECT list(v ORDER BY i) AS steps FROM (
     SELECT i, list_reduce(list_prepend(i, range(8)),
@@ -174,10 +166,56 @@ _CRC_TABLE_SQL = """crc_steps AS (
 
 
 def _crc_sql(text: str) -> str:
-    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))),
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))),
       lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"""
 
 
+RESAMPLE_SQL = f"""
+WITH {_CRC_TABLE_SQL},
+texts AS (
+  SELECT 0 AS target, row_number() OVER () AS id, doc_id, text FROM documents
+  UNION ALL SELECT 1, -row_number() OVER (), NULL, text FROM benchmark
+), words AS (
+  SELECT target, id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM texts
+), runs AS (
+  SELECT target, id, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS feature
+  FROM words, range(1, 4) r(n)
+), counted AS (SELECT target, id, feature, count(*) AS k FROM runs GROUP BY ALL),
+hashed AS (SELECT feature, {_crc_sql("feature")} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM counted), crc_steps),
+buckets AS (
+  SELECT bucket, sum(k) FILTER (target = 0) AS s, sum(k) FILTER (target = 1) AS t FROM counted JOIN hashed USING (feature) GROUP BY bucket
+), totals AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM buckets),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (s_all + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM buckets, totals
+), weights AS (
+  SELECT id, sum(k) AS n, sum(k * gain) AS weight FROM counted JOIN hashed USING (feature) JOIN gains USING (bucket) GROUP BY id
+), scored AS (
+  SELECT w.id, doc_id, len(w) >= 20 AS fit, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
+      + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM words w LEFT JOIN weights USING (id) WHERE target = 0
+), placed AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY fit) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+@query(RESAMPLE_SQL)
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark"))
+    return resample.resample(docs, target)
+
+
+_FIELD_SQL = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ["doc_id", "source", "lang", n_chars, "text"]
+    return f"sha256({' || '.join(map(_FIELD_SQL.format, fields))})"
+
+
 MERKLE_SQL = f"""
 WITH RECURSIVE {_CRC_TABLE_SQL},
 leaves AS (
