@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .tokens import BYTE_LETTERS, ragged, slices, words_of
 
-#: Most chunks and pairs of tokens remembered by a Python worker; beyond it all are forgotten and worked out again.
-KNOWN_CHUNKS, KNOWN_PAIRS = 500_000, 1_000_000
+#: Most chunks, words and pairs of tokens remembered by a Python worker; beyond it all are forgotten and worked out again.
+KNOWN_CHUNKS, KNOWN_WORDS, KNOWN_PAIRS = 300_000, 300_000, 1_000_000
 #: Characters of text handled at once.
 SLICE_CHARS = 4_000_000
 
@@ -76,13 +76,37 @@ class TrieEncoder:
                 ends.add(joined)
             self.rank[joined], self.parts[joined], self.pair[left, right] = rank, (left, right), rank
         self.length = {i: len(x) for i, x in spelt.items()}
-        self.longest = max(self.length.values())
-        #: all stretches that end a token: the token itself, or -1 where only longer ones end so
-        self.inside, self.ending = (
-            {x[i:]: -1 for x in table for i in range(len(x))} | table for table in (self.inside, self.ending)
-        )
+        self._automaton()
         self.known: dict[str, tuple[int, ...]] = {}
-        self.fitting: dict[tuple[int, int], bool] = {}
+        self.known_words: dict[str, tuple[int, ...]] = {}
+        self.fitting: dict[int, bool] = {}
+
+    def _automaton(self) -> None:
+        """What a path ends in: its longest end that begins some token.  Moves, and the tokens that end there, are filled in when met."""
+        begun = {x[:i] for x in self.inside for i in range(len(x) + 1)} | {x[:i] for x in self.ending for i in range(len(x))}
+        self.begun = {x: i for i, x in enumerate(sorted(begun))}  # 0: nothing
+        self.ends = list(self.begun)
+        self.moves: list[dict[str, int]] = [{} for _ in self.ends]
+        self.inside_at: list[tuple | None] = [None] * len(self.ends)
+        self.ending_at: list[dict[str, tuple]] = [{} for _ in self.ends]
+
+    def _move(self, state: int, letter: str) -> int:
+        end = self.ends[state] + letter
+        while end not in self.begun:
+            end = end[1:]
+        self.moves[state][letter] = to = self.begun[end]
+        if self.inside_at[to] is None:
+            self.inside_at[to] = self._tokens(end, self.inside)
+        return to
+
+    def _ending(self, state: int, letter: str) -> tuple:
+        self.ending_at[state][letter] = found = self._tokens(self.ends[state] + letter, self.ending)
+        return found
+
+    @staticmethod
+    def _tokens(end: str, tokens: dict[str, int]) -> tuple:
+        """(letters, id) of the tokens that ``end`` ends in, longest first."""
+        return tuple((len(end) - i, tokens[end[i:]]) for i in range(len(end)) if end[i:] in tokens)
 
     @staticmethod
     def of(path: str) -> TrieEncoder:
@@ -97,10 +121,7 @@ class TrieEncoder:
 
         Merging forms the tokens at both sides of the border step by step.  Going back in time, the tokens that touch the border
         are taken apart, the later one first; no pair of them may have been joined before either changed."""
-        key = left, right
-        known = self.fitting.get(key)
-        if known is not None:
-            return known
+        key = left << 32 | right
         fine, until = True, len(self.pair)  # rank before which the two tokens touch
         while True:
             if self.pair.get((left, right), until) < until:
@@ -119,38 +140,46 @@ class TrieEncoder:
         self.fitting[key] = fine
         return fine
 
-    def _last(self, tail: str, depth: int, states: array, tokens: dict[str, int]) -> int:
-        """Last token of the prefix of ``depth`` letters that ends in ``tail``; ``states``: those of shorter prefixes."""
-        begin = len(tail) - 1
-        first = depth - len(tail)  # where the tail begins
-        found = []
-        while begin >= 0 and (token := tokens.get(tail[begin:])) is not None:
-            if token >= 0:
-                found.append((first + begin, token))
-            begin -= 1
-        for begin, token in reversed(found):
-            if begin == 0 or self.fits(states[begin], token):
+    def _token(self, depth: int, tokens: tuple, last: array) -> int:
+        """Last token of a prefix of ``depth`` letters; ``tokens`` are those that end it, ``last[d]`` the last token of d letters."""
+        fitting = self.fitting
+        for letters, token in tokens:
+            begin = depth - letters
+            if not begin:
+                return token
+            fine = fitting.get(last[begin] << 32 | token)
+            if fine or (fine is None and self.fits(last[begin], token)):
                 return token
-        raise ValueError(f"no token ends {tail!r}")  # single letters are tokens, so this is no vocabulary of merges
+        raise ValueError("no token ends the word")  # single letters are tokens, so this is no vocabulary of merges
+
+    def _descend(self, word: str, shared: int, last: array, states: array) -> None:
+        """From the prefix of ``shared`` letters down to the word without its last letter."""
+        state = states[shared]
+        for depth in range(shared + 1, len(word)):
+            letter = word[depth - 1]
+            to = self.moves[state].get(letter)
+            state = self._move(state, letter) if to is None else to
+            last.append(self._token(depth, self.inside_at[state], last))
+            states.append(state)
 
     def words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct words in byte letters, none of them empty: the trie of all of them, depth first."""
         out = {}
-        states = array("I", [0])  # states[d]: last token of the first d letters of the path
+        last, states = array("I", [0]), array("I", [0])  # of every prefix on the path
         before = ""
-        longest = self.longest
         for word in sorted(words):
-            inner = len(word) - 1
-            shared, most = 0, min(inner, len(before) - 1)
+            size = len(word)
+            shared, most = 0, min(size, len(before)) - 1
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for depth in range(shared + 1, inner + 1):
-                states.append(self._last(word[max(0, depth - longest) : depth], depth, states, self.inside))
-            token = self._last(word[max(0, inner + 1 - longest) :], inner + 1, states, self.ending)
-            ids, at = [token], inner + 1 - self.length[token]
+            del last[shared + 1 :], states[shared + 1 :]
+            self._descend(word, shared, last, states)
+            state = states[-1]
+            tokens = self.ending_at[state].get(word[-1]) or self._ending(state, word[-1])
+            token = self._token(size, tokens, last)
+            ids, at = [token], size - self.length[token]
             while at:
-                token = states[at]
+                token = last[at]
                 ids.append(token)
                 at -= self.length[token]
             out[word] = tuple(reversed(ids))
@@ -176,12 +205,16 @@ class TrieEncoder:
 
     def chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
         """Ids of chunks without ASCII white space."""
-        if len(self.known) > KNOWN_CHUNKS:
-            self.known.clear()
+        for kept, most in ((self.known, KNOWN_CHUNKS), (self.known_words, KNOWN_WORDS)):
+            if len(kept) > most:
+                kept.clear()
+        ids = self.known_words
         new = {x: self._cut(x) for x in chunks if x not in self.known}
-        ids = self.words(list({w for parts in new.values() for w in parts if isinstance(w, str)}))
+        ids |= self.words(list({w for parts in new.values() for w in parts if isinstance(w, str) and w not in ids}))
         for x, parts in new.items():
-            self.known[x] = tuple(itertools.chain.from_iterable(ids[w] if isinstance(w, str) else (w,) for w in parts))
+            self.known[x] = ids[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else tuple(
+                itertools.chain.from_iterable(ids[w] if isinstance(w, str) else (w,) for w in parts)
+            )
         return [self.known[x] for x in chunks]
 
     def batch(self, texts) -> tuple[np.ndarray, np.ndarray]:
