@@ -405,7 +405,8 @@ def covered(table: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     counts = work.settle(counts.where("occurs > 1"), "anchors")
     stretches = table.mapInArrow(_stretches, "row long, start long, n long, anchor long")
     held = stretches.hint("merge").join(counts, "anchor").groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "occurs")).alias("held"))
-    texts = work.settle(table.hint("merge").join(held, "row"), "texts")
+    # dealt by row once: the intervals come to the texts later, not the texts to the intervals
+    texts = work.settle_by(table.hint("merge").join(held, "row"), "texts", "row")
 
     slices = texts.mapInArrow(_slices(SPAN, True), "anchor long, digest binary, n long, occurs long, slice binary")
     parts = F.ceil(F.col("occurs") * SLICE / (SHARD // 2)).cast("int")
