@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, least_hashed
 from .tokens import bytes_of, slices, words_of
 
 #: Most labelled documents that the models are fitted to, and most telling words of each model.
@@ -86,7 +86,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     shrink[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink)
+        hessian = np.diag(shrink)
+        for k in range(0, len(x), 4096):  # no weighted copy of the whole
+            part = x[k : k + 4096]
+            hessian += (part * (p * (1 - p))[k : k + 4096, None]).T @ part
         step = np.linalg.solve(hessian, x.T @ (p - y) + shrink * weights)
         weights -= step
         if np.abs(step).max() < 1e-6:
@@ -94,6 +97,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return weights
 
 
+def fit_models(x: np.ndarray, labels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Mean and scale of the columns (0 and 1 for telling words), and a model's weights for each label."""
+    size = x.shape[1]
+    mean, scale = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(size), np.ones(size))
+    mean[SHAPE:], scale[SHAPE:] = 0, 1
+    scale[scale == 0] = 1
+    x -= mean
+    x /= scale
+    return mean, scale, [fit_logistic(x, y) for y in labels]
+
+
 class Model:
     """Both logistic models; ``good_odds`` is the log odds that a text is neither bad nor toxic."""
 
@@ -117,13 +131,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     work = Workspace(docs.sparkSession, "quality-model")
     chosen = labels.select(*(F.col(c).cast("long").alias(c) for c in ("doc_id", "quality", "toxic"))).dropna()
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
+    chosen = least_hashed(chosen, ["doc_id", "quality", "toxic"], sample, Workspace(docs.sparkSession, "quality-labels"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = texts.join(F.broadcast(chosen), "doc_id").select(  # bounded by ``sample``
         F.coalesce("text", F.lit("")).alias("text"), (1 - F.col("quality")).alias("bad"), "toxic", "doc_id"
     )
-    held = held.orderBy(F.xxhash64("doc_id", "text")).limit(sample)
-    held = work.settle(held, "sample")
+    held = work.settle(held, "labelled")
+    if held.count() > sample:  # ids that repeat
+        held = least_hashed(held, ["doc_id", "text"], sample, work)
     words = {w: i for i, w in enumerate(telling_words(held))}
 
     def rows(batches):
@@ -134,16 +149,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*columns, lists], names=["bad", "toxic", "x"])
 
-    table = held.select("text", "bad", "toxic").mapInArrow(rows, "bad long, toxic long, x array<double>").toArrow()
     size = SHAPE + len(words)
-    x = np.concatenate([c.values.to_numpy() for c in table.column("x").chunks] + [np.zeros(0)]).reshape(-1, size)
-    y = [table.column(k).to_numpy().astype(float) for k in ("bad", "toxic")]
-    mean, scale = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(size), np.ones(size))
-    mean[SHAPE:], scale[SHAPE:] = 0, 1
-    scale[scale == 0] = 1
-    x -= mean
-    x /= scale
-    return Model(words, mean, scale, [fit_logistic(x, v) for v in y])
+
+    def fit(batches):
+        xs, labels = [np.zeros((0, size))], [[], []]
+        for batch in batches:
+            xs.append(batch.column(2).flatten().to_numpy().reshape(-1, size))
+            for k, held in enumerate(labels):
+                held.append(batch.column(k).to_numpy().astype(float))
+        mean, scale, weights = fit_models(np.concatenate(xs), [np.concatenate([np.zeros(0), *y]) for y in labels])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.float64())) for x in (mean, scale, *weights)], names=["mean", "scale", "bad", "toxic"])
+
+    # one task holds the numbers of at most ``sample`` documents; the driver gets the weights
+    numbers = work.settle(held.select("text", "bad", "toxic").mapInArrow(rows, "bad long, toxic long, x array<double>"), "numbers")
+    fitted = numbers.coalesce(1).mapInArrow(fit, "mean array<double>, scale array<double>, bad array<double>, toxic array<double>")
+    found = fitted.first()
+    if found is None:  # a table without rows has no tasks
+        return Model(words, *fit_models(np.zeros((0, size)), [np.zeros(0)] * 2))
+    mean, scale, *weights = (np.array(x) for x in found)
+    return Model(words, mean, scale, weights)
 
 
 def telling_words(held: DataFrame) -> list[str]:
@@ -183,13 +207,12 @@ def telling_words(held: DataFrame) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def _with_odds(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns, and ``_pl_odds``."""
+def _with_odds(rows: DataFrame, model: Model) -> DataFrame:
+    """All columns but ``_pl_text``, and its ``_pl_odds``."""
 
     def run(batches):
         import pyarrow as pa
 
-
         for batch in batches:
             at = batch.schema.get_field_index("_pl_text")
             for a, b in slices(batch.column(at)):
@@ -201,8 +224,8 @@ def _with_odds(docs: DataFrame, model: Model) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("_pl_odds", DoubleType())])
-    return docs.withColumn("_pl_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = StructType([f for f in rows.schema.fields if f.name != "_pl_text"] + [StructField("_pl_odds", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def _strength(groups: DataFrame, total: str, n: str, center) -> float:
@@ -220,16 +243,23 @@ def _strength(groups: DataFrame, total: str, n: str, center) -> float:
     return float(np.clip(inner / between - 1 if between > 0 else 1e6, 2, 1e6))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """All columns of ``docs``, and _pl_p (own evidence), _pl_host, _pl_path (shares), _pl_good (combined), _pl_kept."""
+def classify(
+    docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, carry: list[str] | None = None
+) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (default: all), and _pl_p (own evidence), _pl_host, _pl_path (shares), _pl_good (combined),
+    _pl_kept.  Names that begin with ``_pl_`` are reserved.  Texts are scored once: what is carried is written with its odds."""
+    carry = docs.columns if carry is None else carry
+    if taken := [c for c in docs.columns if c.startswith("_pl_")]:
+        raise ValueError(f"reserved column names: {taken}")
+    work = Workspace(docs.sparkSession, "quality")
     model = train(docs, labels, sample)
     own = 1 / (1 + F.exp(-F.col("_pl_odds")))
     # keys that are never null, and differ for null and empty
-    site = [F.concat(F.lit("="), F.col(c).cast("string")) for c in (host, path)]
-    keys = [F.coalesce(s, F.lit("null")).alias(k) for s, k in zip(site, ("_pl_h", "_pl_p"))]
-    narrow = _with_odds(docs.select("text", *keys), model).select("_pl_h", "_pl_p", own.alias("p"))
-    paths = narrow.groupBy("_pl_h", "_pl_p").agg(F.sum("p").alias("_pl_ps"), F.count(F.lit(1)).alias("_pl_pn"))
-    paths = Workspace(docs.sparkSession, "quality").settle(paths, "paths")
+    keys = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).alias(k) for c, k in ((host, "_pl_h"), (path, "_pl_p"))]
+    rows = docs.select(*(F.col(f"`{c}`") for c in carry), *keys, F.col("text").cast("string").alias("_pl_text"))
+    rows = work.settle(_with_odds(rows, model), "scored")
+    paths = rows.groupBy("_pl_h", "_pl_p").agg(F.sum(own).alias("_pl_ps"), F.count(F.lit(1)).alias("_pl_pn"))
+    paths = work.settle(paths, "paths")
     hosts = paths.groupBy("_pl_h").agg(F.sum("_pl_ps").alias("_pl_hs"), F.sum("_pl_pn").alias("_pl_hn"))
     total, n = paths.agg(F.coalesce(F.sum("_pl_ps"), F.lit(0.0)), F.coalesce(F.sum("_pl_pn"), F.lit(0))).first()
     share = min(max(total / n if n else 0.5, 1e-6), 1 - 1e-6)
@@ -240,8 +270,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     if paths.count() <= FEW_SITES:
         sites = F.broadcast(sites)
 
-    rows = _with_odds(docs, model)
-    rows = rows.withColumns({k: F.coalesce(s, F.lit("null")) for s, k in zip(site, ("_pl_h", "_pl_p"))}).join(sites, ["_pl_h", "_pl_p"])
+    rows = rows.join(sites, ["_pl_h", "_pl_p"])
     host_share = (F.lit(by_host * share) + F.col("_pl_hs") - own) / (by_host + F.col("_pl_hn") - 1)
     rows = rows.withColumn("_pl_host", host_share)
     path_share = (by_path * F.col("_pl_host") + F.col("_pl_ps") - own) / (by_path + F.col("_pl_pn") - 1)
@@ -250,7 +279,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     carried = F.col("_pl_odds") + F.log(F.col("_pl_path") / (1 - F.col("_pl_path"))) - float(np.log(share / (1 - share)))
     good = 1 / (1 + F.exp(-carried))
     rows = rows.withColumn("_pl_good", good).withColumn("_pl_own", own)
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_pl_own").alias("_pl_p"), "_pl_host", "_pl_path", "_pl_good", (F.col("_pl_good") >= 0.5).alias("_pl_kept"))
+    return rows.select(*(F.col(f"`{c}`") for c in carry), F.col("_pl_own").alias("_pl_p"), "_pl_host", "_pl_path", "_pl_good", (F.col("_pl_good") >= 0.5).alias("_pl_kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     names = {"_pl_p": "doc_evidence", "_pl_host": "host_share", "_pl_path": "path_share", "_pl_good": "good", "_pl_kept": "kept"}
-    found = quality.classify(docs, labels)
+    found = quality.classify(docs, labels, carry=["doc_id"])
     return found.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
 
 
