@@ -26,7 +26,7 @@ The documents are read once and written with their row ids; all later steps star
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .storage import Workspace
@@ -292,8 +292,11 @@ def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
         top = below.groupBy("b").agg(F.min("a").alias("m"))
         small = below.join(top, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         step += 1
-        edges = work.settle(small.where("a <> b").distinct(), f"{name}-{step}")
-        state = edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()  # counted while they are written
+        edges = small.where("a <> b").distinct()
+        edges = edges.observe(seen, F.count("a").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        edges = work.settle(edges, f"{name}-{step}")
+        state = seen.get
         work.drop(f"{name}-{step - 1}")
         if state == before:
             break
