@@ -23,9 +23,8 @@ def brute_force(rows, k=10, every=100):
     ]
     out = []
     for q in sorted({i for i, _ in fine if i % every == 0}):
-        mine = next(x for i, x in fine if i == q)
-        best = sorted((-sum(a * b for a, b in zip(mine, x)), i) for i, x in fine if i != q)[:k]
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+        found = [(-sum(a * b for a, b in zip(mine, x)), i) for j, mine in fine if j == q for i, x in fine if i != q]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(found)[:k], 1)]
     return out
 
 
@@ -51,6 +50,30 @@ def test_small_tables(spark, rows):
     assert got(ti.top_inner(table(spark, rows))) == brute_force(rows)
 
 
+def test_repeated_query_ids_in_any_order(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 7.0])]
+    for some in (rows, rows[::-1], rows + rows[:1]):
+        assert got(ti.top_inner(table(spark, some))) == brute_force(some)
+    assert got(ti.top_inner(table(spark, rows)))[0] == (0, 1, 2, 7 * 1024**2)
+
+
+def test_whole_blocks_are_skipped(spark, monkeypatch):
+    """Lengths that fall off: the short vectors' blocks never meet a query."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(c) for c in rng.normal(size=8) * (100 if i % 20 == 0 else 0.01)]) for i in range(2000)]
+    for name, value in (("BLOCK", 50), ("HEAD", 60)):
+        monkeypatch.setattr(ti, name, value)
+    last = []
+    real = ti._numbering
+    monkeypatch.setattr(ti, "_numbering", lambda bins: (last.append(real(bins)), last[-1])[1])
+    assert got(ti.top_inner(table(spark, rows))) == brute_force(rows)
+    blocks = max(f + p for _, f, p in last[0])
+    shortest = min(s for *_, s in brute_force(rows))
+    need = shortest / (1024 * 100 * 6)  # about a query's length
+    assert blocks >= 40 and ti.last_block(need, last[0]) < 8 and ti.last_block(0.0, last[0]) == blocks - 1
+    assert ti.last_block(1e12, last[0]) == -1
+
+
 def test_most_candidates_are_pruned(monkeypatch):
     """Lengths and directions that differ: full products are taken for few candidates."""
     rng = np.random.default_rng(1)
