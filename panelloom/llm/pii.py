@@ -6,7 +6,7 @@ variables of a conditional random field over one document:
 
 * own potentials: a multinomial logistic model of a number's shape and of the word before it;
 * chain potentials between neighbours in the text;
-* skip potentials between distant mentions of the same or a similar thing (equal digits, equal last eight digits, equal
+* skip potentials between distant mentions of the same or a similar thing (equal digits, equal last eight of 9 to 15 digits, equal
   address).  The mentions of one thing share a hub variable, so edges grow with mentions, not with their pairs.
 
 The model is fitted to the rules' finds in at most ``SAMPLE`` documents (those with the least hashes of their ids among
@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Workspace, least_hashed
 from .tokens import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,6 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 1000
 #: Rounds of message passing, and the least probability of an added span.
 ROUNDS, LIKELY = 12, 0.6
+#: Most digits of a candidate.
+MOST_DIGITS = 19
 #: A candidate is nothing unless so much, in log odds, speaks for it.
 CAUTION = 2.0
 #: Words before a number that have a weight of their own.
@@ -120,7 +123,7 @@ def mentions(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[in
 
     def add(a, b):
         digits = re.sub(r"[^0-9]", "", text[a:b])
-        if 7 <= len(digits) <= 19 and _free(text, a, b) and clear(a, b):
+        if 7 <= len(digits) <= MOST_DIGITS and _free(text, a, b) and clear(a, b):
             out.append((a, b, 0, digits))
             return True
         return False
@@ -128,9 +131,15 @@ def mentions(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[in
     at = 0
     while found := _NUMBER.search(text, at):
         a, at = found.span()
-        if at - a >= 7 and not add(a, at):  # else what blanks part
-            for part in re.finditer(r"[^ ]+(?: [^ ]+)??", text[a:at]):
-                add(a + part.start(), a + part.end())
+        if at - a >= 7 and not add(a, at):  # else every run of groups that blanks part; MOST_DIGITS groups hold too many digits
+            groups = [(a + g.start(), a + g.end(), sum(map(str.isdigit, g[0]))) for g in re.finditer(r"[^ ]+", text[a:at])]
+            for i, (start, _, _) in enumerate(groups):
+                digits = 0
+                for _, end, more in groups[i : i + MOST_DIGITS]:
+                    digits += more
+                    if digits > MOST_DIGITS:
+                        break
+                    add(start, end)
     if "(at)" in text or "[at]" in text or " dot " in text:
         for found in _SPELT.finditer(text):
             if clear(*found.span()):
@@ -213,7 +222,8 @@ class Field:
             which += [(t, i) for i in range(len(found))]
             hubs: dict[str, list[int]] = {}
             for i, (_, _, _, key) in enumerate(found):
-                for name in {key, key[-8:]} if key.isdigit() else {key}:
+                # the end of a number stands for it where a country code may be left out
+                for name in ["=" + key, "~" + key[-8:]] if key.isdigit() and 8 < len(key) <= 15 else ["=" + key]:
                     hubs.setdefault(name, []).append(n + i)
             left += range(n, n + len(found) - 1)
             right += range(n + 1, n + len(found))
@@ -231,14 +241,29 @@ class Field:
             return out
         logs = pass_messages(np.concatenate(own), np.array(left, np.int64), np.array(right, np.int64), np.array(tables).reshape(-1, k, k))
         best = logs.argmax(axis=1)
+        likely: dict[int, list] = {}
         for i, place in enumerate(which):
             if place and best[i] and np.exp(logs[i, best[i]]) >= LIKELY:
                 a, b, label, _ = all_found[place[0]][place[1]]
                 if not label:
-                    out[place[0]].append((KINDS[best[i] - 1], a, b))
+                    likely.setdefault(place[0], []).append((-round(float(logs[i, best[i]]), 9), a - b, a, b, KINDS[best[i] - 1]))
+        for t, spans in likely.items():
+            out[t] = _apart(spans)
         return out
 
 
+def _apart(spans: list) -> list[tuple[str, int, int]]:
+    """Of spans (unlikeliness, less its length, start, end, kind) that overlap, the likelier stays, then the longer, then the first."""
+    from bisect import bisect_left
+
+    taken: list[tuple[int, int, str]] = []
+    for _, _, a, b, kind in sorted(spans):
+        k = bisect_left(taken, (a,))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+            taken.insert(k, (a, b, kind))
+    return [(kind, a, b) for a, b, kind in taken]
+
+
 def fit(texts: list[str], steps: int = 300) -> Field:
     """Own potentials by logistic regression on shape and context, chain and skip potentials by how often labels agree."""
     from collections import Counter
@@ -281,7 +306,7 @@ def fit(texts: list[str], steps: int = 300) -> Field:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     text = F.col("text").cast("string")
     held = docs.select("doc_id", text.alias("text")).where(text.rlike("[0-9@]"))
-    held = held.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample)
+    held = least_hashed(held, ["doc_id", "text"], sample, Workspace(docs.sparkSession, "pii-model"))
     return fit([r[0] for r in held.select("text").collect()])
 
 

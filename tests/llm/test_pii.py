@@ -69,6 +69,17 @@ def test_mentions_agree_within_a_document():
     assert added("card 4111 1111 1111 1111 and 4111111111111111 5500005555555559 in a row") [:1] == [("card", "4111111111111111")]
 
 
+def test_grouped_numbers_beside_others():
+    """Every run of successive groups is a candidate where the whole run has too many digits."""
+    text = "card 4111111111111111 seen as 4111 1111 1111 1111 2024 05 17"
+    assert added(text) == [("card", "4111 1111 1111 1111")]
+    keys = {k for _, _, label, k in pii.mentions(text, pii.base_spans(text)) if not label}
+    assert {"4111111111111111", "1111111111112024", "11112024"} <= keys
+    assert added("call +1 (555) 867-5309 or 1 555 867 5309 555 867 5309 20") [:1] == [("phone", "1 555 867 5309")]
+    many = " ".join(["12"] * 20_000)
+    assert len(pii.mentions(many, pii.base_spans(many))) < 20 * 20_000
+
+
 def test_clean_documents_stay_clean():
     for text in ("order 123456789 of 1234567890123", "token 99168226c4d3cee7e953ef", "in 2020 there were 1234567 people at home dot", ""):
         assert added(text) == []
