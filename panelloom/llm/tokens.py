@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import sys
@@ -31,6 +32,13 @@ def _byte_letters() -> dict[int, int]:
 BYTE_LETTERS = _byte_letters()
 
 
+@functools.cache
+def broken_letters() -> str:
+    """Letters whose normal form in lower case (NFC) ends in a mark that is no letter."""
+    letters = (chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L")
+    return "".join(x for x in letters if not unicodedata.category(unicodedata.normalize("NFC", x).lower()[-1]).startswith("L"))
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every stretch, one after the other."""
     ends = np.cumsum(lens)
@@ -114,11 +122,14 @@ class WordEncoder:
     def _places(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of every chunk stand: of its letters, and of the marks at its end (or -1).
 
-        Marks after a letter stand apart from it in either vocabulary, so both are looked up on their own.
+        Marks after a letter stand apart from it in either vocabulary, so both are looked up on their own.  Where a vocabulary
+        normalises first, letters that come apart don't count: what they end in joins the marks.
         """
         core = pc.utf8_rtrim(chunks, MARKS)
         sizes, whole = pc.binary_length(core).to_numpy(), pc.binary_length(chunks).to_numpy()
         letter = pc.match_substring_regex(core, r"\pL$").to_numpy(zero_copy_only=False)
+        if not self.prefix_space:
+            letter &= ~pc.match_substring_regex(core, f"[{broken_letters()}]$").to_numpy(zero_copy_only=False)
         apart = (sizes < whole) & letter
         core = pc.if_else(pa.array(apart), core, chunks)
         if not self.prefix_space:

@@ -99,3 +99,23 @@ def test_encoder_equals_the_library(spark, name, space):
     whole = Tokenizer.from_file(vocabulary(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)
     for got, want in zip(np.split(ids, np.cumsum(sizes)[:-1]), whole):
         assert got.tolist() == want.ids
+
+
+@pytest.mark.parametrize("name,prefix_space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_ids_of_all_letters_before_marks(name, prefix_space):
+    import sys
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(vocabulary(name)), WordEncoder(vocabulary(name), prefix_space)
+    letters = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L"]
+    rng = np.random.default_rng(0)
+    marks = [".", ",,", "!)", "\"", "-", "...", "'", "?'"]
+    texts = [f"a{x}{marks[i % len(marks)]} b {x}{x}{marks[(i + 3) % len(marks)]}" for i, x in enumerate(letters)]
+    odd = [*"İक़ড়ਲ਼ଡ଼གྷיִשׁéßẞΣ̧́aZ", *".,!'-()\n ", "Å", "\U0001f602"]
+    texts += ["".join(rng.choice(odd, 30)) for _ in range(5000)]
+    ids, sizes = encoder.batch(pa.array(texts))
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
