@@ -34,7 +34,7 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
                 best[k] = max(best.get(k, -1), r.doc_id)
             assert ids == set(best.values()) and len(rows) == len(best) < len(before)
         if name == "near_dedup":
-            want = near([(r.doc_id, r.text) for r in before])
+            want = near([(r.doc_id, r.text) for r in before], 80)
             assert ids == {d for d, _, c in want if d == c} and len(rows) <= len(before)
         if name == "pii":
             field = pii.train(docs)
