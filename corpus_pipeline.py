@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelloom.llm import exact_dedup, near_dedup, packing, pii, quality
 from panelloom.llm.queries import vocabulary
-from panelloom.llm.storage import Workspace
+from panelloom.llm.storage import Workspace, scratch
 
 #: Per cent of shared word shingles from which the stage takes documents for near duplicates (the query op7 takes 85).
 NEAR = 80
@@ -51,9 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's rows."""
+    """All stages over ``documents``; the last one's rows.  Only their table stays in the shared folder."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = work.settle(stage(spark, docs, sf_dir), name)
+        with scratch():  # what a stage wrote on its way goes when its rows are written
+            docs = work.settle(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return docs
