@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.steps import month_start, step_number
-from ..operators import aggregates, calendar, correlate, impute, interpolate, shape
+from ..operators import aggregates, calendar, correlate, impute, interpolate, pair_blocks, shape
 from . import tables as tb
 from .registry import query
 from .tables import cents, table
@@ -387,15 +388,16 @@ _CORR_THIN = _corr_sql(tb.THIN, "thin")
 _CORR = _corr_sql(tb.LEVELS, "levels")
 
 
+def _series() -> tuple:
+    return "supplier", step_number("month", "month"), "level"
+
+
+def _blocks(spark: SparkSession, sf: str) -> int:
+    return correlate.blocks_for(table(spark, sf, "supplier").count())
+
+
 def _corr(spark: SparkSession, sf: str, series: DataFrame) -> DataFrame:
-    n = table(spark, sf, "supplier").count()
-    return correlate.pairwise_corr(
-        series,
-        "supplier",
-        step_number("month", "month"),
-        "level",
-        entity_blocks=correlate.blocks_for(n),
-    )
+    return correlate.pairwise_corr(series, *_series(), entity_blocks=_blocks(spark, sf))
 
 
 @query(f"WITH {_CORR_THIN} SELECT a, b, n, round(r, 9) AS r FROM pairs")
@@ -420,8 +422,8 @@ WITH {_CORR} SELECT a, b, n, round(r, 9) AS r FROM (
   SELECT * FROM pairs WHERE r IS NOT NULL ORDER BY r DESC, a, b LIMIT 10)
 """)
 def top_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    corr = _corr(spark, sf, tb.levels(spark, sf))
-    return correlate.top_pairs(corr).withColumn("r", F.round("r", 9))
+    found = pair_blocks.strongest_pairs(tb.levels(spark, sf), *_series(), entity_blocks=_blocks(spark, sf))
+    return found.withColumn("r", F.round("r", 9))
 
 
 @query(f"WITH {_CORR} SELECT class, count(*) AS n_pairs FROM pairs GROUP BY ALL")
@@ -439,6 +441,38 @@ SELECT s.s_suppkey AS target, b.donor, round(b.r, 9) AS r
 FROM supplier s LEFT JOIN best b ON b.target = s.s_suppkey AND b.rn = 1
 """)
 def best_donor(spark: SparkSession, sf: str) -> DataFrame:
-    corr = _corr(spark, sf, tb.levels(spark, sf))
     suppliers = table(spark, sf, "supplier").select("s_suppkey")
-    return correlate.best_donor(corr, suppliers, "s_suppkey").withColumn("r", F.round("r", 9))
+    found = pair_blocks.best_donors(tb.levels(spark, sf), *_series(), suppliers, "s_suppkey", entity_blocks=_blocks(spark, sf))
+    return found.withColumn("r", F.round("r", 9))
+
+
+@query(f"""
+WITH {_CORR}
+SELECT a, b, n, round(r, 9) AS r FROM pairs JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b
+WHERE x.s_nationkey = y.s_nationkey
+""")
+def candidate_corr(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers of one nation alone."""
+    one, two = (tb.homes(spark, sf).select(F.col("supplier").alias(s), "nation") for s in ("a", "b"))
+    pairs = one.join(two, "nation").where("a < b").select("a", "b")
+    found = pair_blocks.candidate_corr(tb.levels(spark, sf), pairs, *_series(), entity_blocks=_blocks(spark, sf))
+    return found.withColumn("r", F.round("r", 9))
+
+
+@query(f"""
+WITH {tb.LINES}, months AS (SELECT s_nationkey AS nation, month, sum(cents) AS cents FROM lines JOIN supplier ON s_suppkey = supplier GROUP BY ALL),
+smooth AS (SELECT nation, month, sum(cents) OVER (PARTITION BY nation ORDER BY month ROWS 11 PRECEDING) AS x FROM months),
+pairs AS (
+  SELECT covar_pop(p.x, q.x) / (stddev_pop(p.x) * stddev_pop(q.x)) AS r
+  FROM smooth p JOIN smooth q ON p.month = q.month AND p.nation < q.nation GROUP BY p.nation, q.nation HAVING count(*) >= 24)
+SELECT CASE WHEN r >= 0.7 THEN 'strong' WHEN r >= 0.5 THEN 'moderate' WHEN abs(r) < 0.3 THEN 'weak' END AS class, count(*) AS n_pairs
+FROM pairs GROUP BY ALL
+""")
+def corr_class_smooth(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations' sums over twelve months, which drift: pairs of every class."""
+    months = tb.lines(spark, sf).groupBy("supplier", "month").agg(F.sum("cents").alias("cents")).join(tb.homes(spark, sf), "supplier")
+    months = months.groupBy("nation", "month").agg(F.sum("cents").alias("cents"))
+    year = Window.partitionBy("nation").orderBy("month").rowsBetween(-11, 0)
+    smooth = months.select("nation", "month", F.sum("cents").over(year).cast("double").alias("x"))
+    corr = correlate.pairwise_corr(smooth, "nation", step_number("month", "month"), "x", entity_blocks=1).where("n >= 24")
+    return corr.groupBy(correlate.corr_class("r").alias("class")).agg(F.count("*").alias("n_pairs"))

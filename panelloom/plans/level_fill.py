@@ -10,8 +10,9 @@ from ..functions.numbers import to_number
 from ..functions.steps import monthly_date, step_number
 from ..operators.aggregates import dedup_first
 from ..operators.calendar import densify, fill_static
-from ..operators.correlate import best_donor, corr_class, pairwise_corr, ranked_pairs
+from ..operators.correlate import corr_class, pairwise_corr, ranked_pairs
 from ..operators.impute import imputation_summary, impute_climatology
+from ..operators.pair_blocks import best_donors
 from ..sources import sheets
 
 STATIC = ("Station_Name", "Lat", "Lon", "Elev")
@@ -67,16 +68,8 @@ def summary(filled: DataFrame) -> DataFrame:
 
 def donors(dense: DataFrame, entity_blocks: int, min_periods: int = 24) -> tuple[DataFrame, DataFrame]:
     """Ranked, classified pairs and the best donor of every river."""
-    corr = pairwise_corr(
-        dense,
-        "river",
-        step_number("Date", "month"),
-        "haut_moy",
-        min_periods=min_periods,
-        entity_blocks=entity_blocks,
-    )
+    series = dense, "river", step_number("Date", "month"), "haut_moy"
+    corr = pairwise_corr(*series, min_periods=min_periods, entity_blocks=entity_blocks)
     rivers = dense.select("river").distinct()
-    return (
-        ranked_pairs(corr).withColumn("class", corr_class("r")),
-        best_donor(corr, rivers, "river"),
-    )
+    best = best_donors(*series, rivers, "river", min_periods=min_periods, entity_blocks=entity_blocks)
+    return ranked_pairs(corr).withColumn("class", corr_class("r")), best
