@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.numbers import planar_distance
 
 SAME_CELL, FALLBACK = "same_era5_grid", "nearest_fallback"
-# Bins of the search grid: side of the finest in degrees, and how often it doubles.
-FINEST, LEVELS = 0.02, 15
-_TOP = LEVELS  # one bin that holds everything
+# Sides of the cells: the finest in degrees, quadrupled from level to level; above the last, one cell holds everything.
+FINEST, LEVELS = 0.02, 8
+#: A cell with more stations is split, into pages and within pages into leaves.
+PAGE, LEAF = 2048, 16
 
 
 def _placed(df: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -21,10 +22,59 @@ def _placed(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.where(number(lat) & number(lon))
 
 
-def _bin(level: Column, lat: str, lon: str) -> list[Column]:
-    side = F.lit(FINEST) * F.pow(F.lit(2.0), level)
-    whole = lambda c: F.when(level == _TOP, 0).otherwise(F.floor(F.col(c) / side)).cast("long")
-    return [whole(lat).alias("bx"), whole(lon).alias("by")]
+def _least(box: Column, lat: Column, lon: Column) -> Column:
+    """Square of the distance to the nearest point of a box."""
+    zero = F.lit(0.0)
+    dlat = F.greatest(box["lat0"] - lat, lat - box["lat1"], zero)
+    dlon = F.greatest(box["lon0"] - lon, lon - box["lon1"], zero)
+    return dlat * dlat + dlon * dlon
+
+
+def _most(box: Column, lat: Column, lon: Column) -> Column:
+    """Square of the distance to its farthest point: a station of the box is as near as that."""
+    dlat = F.greatest(F.abs(box["lat0"] - lat), F.abs(box["lat1"] - lat))
+    dlon = F.greatest(F.abs(box["lon0"] - lon), F.abs(box["lon1"] - lon))
+    return dlat * dlat + dlon * dlon
+
+
+def _near(boxes: Column | str, lat: Column, lon: Column) -> Column:
+    """The boxes that may hold the nearest station."""
+    bound = F.array_min(F.transform(boxes, lambda x: _most(x, lat, lon))) * (1 + 1e-9) + 1e-300
+    return F.filter(boxes, lambda x: _least(x, lat, lon) <= bound)
+
+
+def _box() -> list[Column]:
+    return [F.min("slat").alias("lat0"), F.max("slat").alias("lat1"), F.min("slon").alias("lon0"), F.max("slon").alias("lon1")]
+
+
+def station_pages(right: DataFrame) -> DataFrame:
+    """``g, page, lat0, lat1, lon0, lon1, leaves`` of stations (g, slat, slon, first): an adaptive tree of cells.
+
+    A station's page is the largest cell around it that holds at most ``PAGE`` stations, its leaf the largest with at most
+    ``LEAF``: crowded places get small cells, empty ones large cells.  What searches go by are the stations' own bounding
+    boxes, so it doesn't matter where the borders of cells lie.
+    """
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+    side = F.lit(FINEST) * F.pow(F.lit(4.0), F.col("level"))
+    cells = right.select("*", level).withColumns({"bx": F.floor((F.col("slat") + 90) / side), "by": F.floor((F.col("slon") + 180) / side)})
+    where = ["g", "level", "bx", "by"]
+    crowded = cells.groupBy(*where).agg(F.count("*").alias("n")).where(F.col("n") > LEAF)
+    split = cells.join(crowded, where, "left").groupBy("g", "slat", "slon").agg(
+        F.min("first").alias("first"), F.min(F.when(F.col("n") > PAGE, F.col("level"))).alias("above_page"), F.min(F.when(F.col("n") > LEAF, F.col("level"))).alias("above_leaf"),
+    )
+
+    def cell(above: str) -> Column:  # the cell below the smallest crowded one
+        level = F.greatest(F.coalesce(F.col(above), F.lit(LEVELS)) - 1, F.lit(0))
+        side = F.lit(FINEST) * F.pow(F.lit(4.0), level)
+        parts = [level, F.floor((F.col("slat") + 90) / side), F.floor((F.col("slon") + 180) / side)]
+        whole = F.array(F.lit(-1).cast("long"))  # nothing crowded: one cell of all
+        return F.when(F.col(above).isNull(), whole).otherwise(F.array(*(x.cast("long") for x in parts)))
+
+    leaves = split.groupBy("g", cell("above_page").alias("page"), cell("above_leaf").alias("leaf")).agg(
+        *_box(), F.collect_list(F.struct("slat", "slon", "first")).alias("stations")
+    )
+    box = [f(c).alias(c) for f, c in ((F.min, "lat0"), (F.max, "lat1"), (F.min, "lon0"), (F.max, "lon1"))]
+    return leaves.groupBy("g", "page").agg(*box, F.collect_list(F.struct("lat0", "lat1", "lon0", "lon1", "stations")).alias("leaves"))
 
 
 def nearest_join(
@@ -47,11 +97,9 @@ def nearest_join(
     id), then the smallest id.  Stations and entities without numeric
     coordinates (NULL, NaN) take no part.
 
-    The search is exact and goes over a grid whose bins double from level to
-    level.  The finest level at which an entity's own bin holds a station bounds
-    its distance by the bin's diagonal; its candidates are the stations in the
-    nine bins around it one level up, which reach at least that far.  So an
-    entity meets the stations around it, however many there are elsewhere.
+    The search is exact and goes down an adaptive tree (:func:`station_pages`).  An entity is sent to the pages whose boxes may
+    hold its nearest station, two or three as a rule; there it looks only into the leaves that may.  One row leaves for each
+    entity's place and page, however many stations lie there.  A group's row of page boxes grows with its stations / ``PAGE``.
     """
     name = name or station
     # Keys of the search groups: one per cell, and one of all stations.
@@ -83,28 +131,19 @@ def nearest_join(
         .select("entity", F.when(F.col("same"), F.col("own")).otherwise(F.lit("*")).alias("g"), "elat", "elon")
     )
     place = ["g", "elat", "elon"]
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
-    where = ["g", "level", "bx", "by"]
-    occupied = right.select("g", "slat", "slon", levels).select("g", "level", *_bin(F.col("level"), "slat", "slon")).distinct()
-    places = left.select(*place).distinct()
-    own = places.select(*place, levels).select(*place, "level", *_bin(F.col("level"), "elat", "elon"))
-    finest = own.join(occupied, where, "left_semi").groupBy(*place).agg(F.min("level").alias("level"))
-    wide = F.coalesce(F.col("level") + 1, F.lit(_TOP))  # nothing near: look at all
-    around = F.when(F.col("level") == _TOP, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, (-1, 0, 1))))
-    asked = places.join(finest, place, "left").select(*place, wide.alias("level"))
-    asked = asked.select(*place, "level", around.alias("dx"), around.alias("dy"), *_bin(F.col("level"), "elat", "elon"))
-    asked = asked.select(*place, "level", F.explode("dx").alias("dx"), "dy", "bx", "by")
-    asked = asked.select(*place, "level", "dx", F.explode("dy").alias("dy"), "bx", "by")
-    asked = asked.select(*place, "level", (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by"))
-    all_levels = F.explode(F.sequence(F.lit(1), F.lit(_TOP))).alias("level")
-    held = right.select("*", all_levels).select("g", "level", "slat", "slon", "first", *_bin(F.col("level"), "slat", "slon"))
-    distance = planar_distance(F.col("elat"), F.col("elon"), F.col("slat"), F.col("slon"))
-    best = (
-        asked.join(held, where)
-        .withColumn("distance_deg", distance)
-        .groupBy(*place)
-        .agg(F.min(F.struct("distance_deg", "first")).alias("best"))
-    )
+    pages = station_pages(right)
+    boxes = pages.groupBy("g").agg(F.collect_list(F.struct("page", "lat0", "lat1", "lon0", "lon1")).alias("boxes"))
+    lat, lon = F.col("elat"), F.col("elon")
+    asked = left.select(*place).distinct().join(boxes, "g").select(*place, F.explode(_near("boxes", lat, lon)["page"]).alias("page"))
+
+    def first_of(leaf: Column) -> Column:
+        return F.array_min(F.transform(leaf["stations"], lambda s: F.struct(
+            planar_distance(lat, lon, s["slat"], s["slon"]).alias("distance_deg"), s["first"].alias("first")
+        )))
+
+    met = asked.join(pages.select("g", "page", "leaves"), ["g", "page"])
+    best = met.select(*place, F.array_min(F.transform(_near("leaves", lat, lon), first_of)).alias("best"))
+    best = best.groupBy(*place).agg(F.min("best").alias("best"))
     return left.join(best, place).select(
         F.col("entity").alias(key),
         F.col("best.first.station").alias(station),
@@ -153,7 +192,7 @@ def source_coverage(
     choices: DataFrame,
     columns: Sequence[str],
 ) -> DataFrame:
-    """Range, dated rows and missing periods per entity beside its chosen sources."""
+    """Range, rows (missing periods included) and missing periods per entity beside its chosen sources."""
     spans = panel.groupBy(key).agg(
         F.min(t).alias("first_date"),
         F.max(t).alias("last_date"),

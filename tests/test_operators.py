@@ -326,6 +326,51 @@ def test_nearest_equals_brute_force(spark, n_stations, spread):
     assert {r.k: (r.s, r.selection_mode) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize(("page", "leaf", "towns"), [(2048, 16, False), (9, 2, False), (40, 3, True)])
+def test_nearest_in_all_quadrants(spark, monkeypatch, page, leaf, towns):
+    """Entities and stations of all quadrants, with crowded towns: any splitting, the same stations."""
+    monkeypatch.setattr(nearest, "PAGE", page)
+    monkeypatch.setattr(nearest, "LEAF", leaf)
+    rng = random.Random(page)
+    spot = lambda: (rng.choice([(0, 0), (51.5, -0.1), (-33.9, 18.4)]) if towns and rng.random() < 0.7 else (0, 0))
+
+    def place(i, p):
+        (lat, lon), wide = spot(), 0.05 if towns and rng.random() < 0.7 else 170
+        return (f"{p}{i:03d}", rng.choice(["a", "b", None]), lat + rng.uniform(-wide, wide) / 2, lon + rng.uniform(-wide, wide))
+
+    entities, stations = [place(i, "e") for i in range(150)], [place(i, "s") for i in range(300)]
+    schema = "id string, cell string, lat double, lon double"
+    e = spark.createDataFrame(entities, schema).withColumnRenamed("id", "k")
+    s = spark.createDataFrame(stations, schema).withColumnRenamed("id", "s")
+    got = {r.k: (r.s, r.selection_mode) for r in nearest.nearest_join(e, s, "k", "s").collect()}
+    assert got == brute_nearest(entities, stations)
+
+
+def test_nearest_across_the_equator_is_no_cross_join(spark):
+    """300 entities north, 300 stations south: pages met, not pairs."""
+    rng = random.Random(2)
+    schema = "id string, cell string, lat double, lon double"
+    north = [(f"e{i}", None, rng.uniform(0.01, 9), rng.uniform(-9, 9)) for i in range(300)]
+    south = [(f"s{i}", None, rng.uniform(-9, -0.01), rng.uniform(-9, 9)) for i in range(300)]
+    e = spark.createDataFrame(north, schema).withColumnRenamed("id", "k")
+    s = spark.createDataFrame(south, schema).withColumnRenamed("id", "s")
+    found = nearest.nearest_join(e, s, "k", "s")
+    assert {r.k: (r.s, r.selection_mode) for r in found.collect()} == brute_nearest(north, south)
+    plan = found._jdf.queryExecution().executedPlan()
+    rows, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            todo.append(node.executedPlan())
+            continue
+        if node.metrics().contains("numOutputRows"):
+            rows.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert max(rows) < 10_000
+
+
 def test_long_names_cost_their_length(spark):
     """The rows between the steps stay short whatever the name's length."""
     table = spark.createDataFrame([("needle", "N", 0), ("abcdefgh", "A", 1), ("zz", "Z", 2)], "alias string, entity string, ord int")
