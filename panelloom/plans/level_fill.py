@@ -36,7 +36,7 @@ def dense_levels(
         rows, header.withColumns({f"_{n}": p for n, p in at.items()}), [f"_{n}" for n in at]
     )
     read = cells.select(
-        F.regexp_extract("file", river_regex, 1).alias("river"),
+        F.regexp_extract(F.substring_index("file", "/", -1), river_regex, 1).alias("river"),
         "row_idx",
         sheets.cell("cells", "_Station_Name").alias("Station_Name"),
         *[to_number(sheets.cell("cells", f"_{n}")).alias(n) for n in at if n != "Station_Name"],

@@ -16,11 +16,14 @@ from ..operators.names import canonical_name, unmatched_entities
 from ..operators.nearest import nearest_join, source_coverage
 from ..operators.quality import check_complete, check_subset, check_unique, require_empty
 from ..operators.shape import attach, map_values, unpivot
+from ..sinks.commit import MANIFEST, beside, commit, decided, exists, recover
 from ..sinks.write import slugs, write_panel, write_per_entity, written_files
 from ..sources import sheets
 from . import fixed_values as fv
 from .settle import remove, settle
 
+#: Folders of a published panel.
+COMBINED, PER_RIVER = "master_dataset_monthly", "per_river"
 YEAR, MONTH, NAME = ("year", "yy"), ("month", "mm"), ("station_name", "name")
 
 
@@ -72,12 +75,12 @@ def river_levels(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Levels ``(river, date, water_level)``, locations ``(river, lat, lon)``, suspect names.
 
-    The river comes from the file's name; two files of one river stop the job.
+    The river comes from the file's name; two files of one river, in one folder or in two, stop the job.
     Station names that map to no river, or to another than their file's
     (``maps_to``), are reported.
     """
     dated = read_sheets(rows, {"water_level": ["haut"]}, folder=folder).withColumn(
-        "river", canonical_name("file", aliases)
+        "river", canonical_name(F.substring_index("file", "/", -1), aliases)
     )
     dated = one_file_each(dated, "river")
     levels = (
@@ -240,14 +243,19 @@ def coverage_report(panel: DataFrame, sources: DataFrame, dated: DataFrame | Non
 def publish(
     panel: DataFrame, out: str, fmt: str = "csv", levels: DataFrame | None = None
 ) -> DataFrame:
-    """Check, then write the panel, its per-river folders and the manifest; returns the manifest.
-
-    The panel is evaluated once, into a table below ``out`` that is checked,
-    written from and removed again.  A panel that fails a check (keys unique,
-    calendars complete, folder names distinct, and exactly the observed
-    ``levels`` if given) is not published.  The manifest lists the files written.
+    """Check, then publish the panel, its per-river folders and the manifest; returns the manifest.
+
+    The panel is evaluated once, into a table beside ``out`` that is checked and written from.  A panel that fails a check (keys
+    unique, calendars complete, folder names distinct, exactly the observed ``levels`` if given, as many rows written as there
+    are) is not published.  Everything is written beside ``out``, the manifest last: it is the commit record.  Only then are
+    the old files switched for the new ones.  A job that dies before leaves the old panel whole; one that dies while
+    switching is finished by :func:`panelloom.sinks.commit.recover`, which the next call begins with.  The manifest lists the files written;
+    rivers that are not in the panel stay.
     """
-    spark, work = panel.sparkSession, f"{out.rstrip('/')}_unpublished"
+    spark = panel.sparkSession
+    recover(spark, out)
+    work = beside(out)
+    new = f"{work}/new"
     try:
         stored = settle(panel, work, "panel")
         checks = [
@@ -260,13 +268,22 @@ def publish(
             known = lambda df: df.where(F.col("water_level").isNotNull()).select(*keys)
             checks.append(check_subset(known(stored), known(levels)))
         require_empty(*checks)
-        write_panel(stored, f"{out}/master_dataset_monthly", "river", "date", stored.columns, fmt)
-        write_per_entity(stored, f"{out}/per_river", "river", "date", stored.columns, fmt)
+        write_panel(stored, f"{new}/{COMBINED}", "river", "date", stored.columns, fmt)
+        write_per_entity(stored, f"{new}/{PER_RIVER}", "river", "date", stored.columns, fmt)
+        reader = spark.read.format(fmt).option("header", "true").schema(stored.schema)
+        written = [written_files(reader.load(f"{new}/{part}"), new) for part in (COMBINED, PER_RIVER)]
+        listed = settle(written[0].unionByName(written[1]), work, "listed")
+        n = stored.count()
+        sums = listed.groupBy(F.substring_index("file", "/", 1).alias("part")).agg(F.sum("row_count").alias("row_count")).collect()
+        if any(r.row_count != n for r in sums) or (n and len(sums) < 2):
+            raise ValueError(f"{n} rows in the panel, written: {sums}")
+        if exists(spark, f"{out}/{PER_RIVER}"):  # what stays there
+            folder = F.regexp_extract("file", f"^{PER_RIVER}/([^/]+)/", 1)
+            old = written_files(spark.read.format(fmt).option("header", "true").load(f"{out}/{PER_RIVER}"), out)
+            renewed = listed.select(folder.alias("folder")).distinct()
+            listed = listed.unionByName(old.withColumn("folder", folder).join(renewed, "folder", "left_anti").drop("folder"))
+        commit(spark, out, listed, whole=[COMBINED], by_folder=[PER_RIVER])
     finally:
-        remove(spark, work)
-    reader = spark.read.format(fmt).option("header", "true")
-    listed = written_files(reader.load(f"{out}/master_dataset_monthly"), out).unionByName(
-        written_files(reader.load(f"{out}/per_river"), out)
-    )
-    listed.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{out}/output_manifest")
-    return spark.read.schema("file string, row_count long").option("header", "true").csv(f"{out}/output_manifest")
+        if not decided(spark, out):  # once decided, recover finishes it
+            remove(spark, work)
+    return spark.read.schema("file string, row_count long").option("header", "true").csv(f"{out}/{MANIFEST}")

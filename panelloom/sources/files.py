@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import os
 import re
 from collections.abc import Sequence
-from urllib.parse import unquote
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +28,58 @@ def _literal(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(path))
 
 
+def path_below(folder: str) -> Column:
+    """Path of the file a row was read from, below a folder."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "^.*?" + re.escape(folder.rstrip("/")) + "/", "")
+
+
+def common_folder(files: Sequence[str]) -> str:
+    """The innermost folder that holds all listed files, without a scheme."""
+    folders = [urlsplit(f).path if "://" in f or f.startswith("file:") else f for f in files]
+    folders = [unquote(f).rsplit("/", 1)[0] for f in folders]
+    return os.path.commonpath(folders) if folders else ""
+
+
+def header_lines(spark: SparkSession, files: Sequence[str]) -> list[tuple[str, str]]:
+    """(listed file, first line) of text files, by one job.
+
+    Every split of a file is a task of its own, which reads one batch of lines and stops; only first splits give a row.
+    """
+    import pyarrow as pa
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                if batch.column(1)[0].as_py() == 0:
+                    line = (batch.column(2)[0].as_py() or "").lstrip("\ufeff")
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, 1), pa.array([line])], names=["file", "line"])
+                return
+
+    batch, cost = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.openCostInBytes"
+    before = {k: spark.conf.get(k) for k in (batch, cost)}
+    spark.conf.set(batch, "1")
+    spark.conf.set(cost, str(1 << 40))  # no two splits share a task
+    try:
+        lines = spark.read.text([_literal(f) for f in files])
+        found = lines.select("_metadata.file_path", "_metadata.file_block_start", "value").mapInArrow(first, "file string, line string").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return [(r.file, r.line) for r in found]
+
+
 def _by_layout(spark: SparkSession, reader, files: Sequence[str], schema: T.StructType) -> DataFrame:
     """CSV files by column *name*: one scan for each order of columns found in their header lines.
 
-    Only header lines are looked at beforehand.  Each scan also checks the
+    Only header lines are looked at beforehand, by one job for all files.  Each scan also checks the
     headers of its files (``enforceSchema`` is off), so nothing is taken by position.
     """
     kinds = {f.name.lower(): f for f in schema.fields}
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        names = tuple(spark.read.option("header", "true").csv(file).columns)
-        layouts.setdefault(names, []).append(file)
+    for file, line in sorted(header_lines(spark, files)):
+        names = tuple(next(csv.reader([line]), []))
+        layouts.setdefault(names, []).append(_literal(file))
     frames = []
     for names, paths in layouts.items():
         absent = [f.name for f in schema.fields if f.name.lower() not in {n.lower() for n in names}]
@@ -44,7 +87,8 @@ def _by_layout(spark: SparkSession, reader, files: Sequence[str], schema: T.Stru
             raise ValueError(f"column(s) {absent} missing in {paths[0]}; found {list(names)}")
         layout = T.StructType([T.StructField(n, kinds[n.lower()].dataType if n.lower() in kinds else T.StringType()) for n in names])
         frames.append(reader.schema(layout).option("enforceSchema", "false").load(paths).select(*schema.names, "_metadata"))
-    return union_series(frames)
+    # files without any line have no header and no rows
+    return union_series(frames) if frames else reader.schema(schema).load([_literal(f) for f in files]).select(*schema.names, "_metadata")
 
 
 def read_series(
@@ -76,9 +120,9 @@ def read_series(
     if schema is not None and fmt == "csv":
         if isinstance(schema, str):
             schema = spark.createDataFrame([], schema).schema
-        listed = [_literal(f) for f in spark.read.format("text").load(given).inputFiles()]
+        listed = spark.read.format("text").load(given).inputFiles()
         if exclude_regex is not None:
-            listed = [f for f in listed if not re.search(exclude_regex, f.rsplit("/", 1)[-1])]
+            listed = [f for f in listed if not re.search(exclude_regex, unquote(f).rsplit("/", 1)[-1])]
         df = _by_layout(spark, reader, sorted(listed), schema) if listed else spark.createDataFrame([], schema)
         names = schema.names
     else:

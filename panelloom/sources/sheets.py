@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import once
 from ..functions.text import normalize_name, plain_words
-from .files import file_name
+from .files import common_folder, path_below
 
 # What marks a header row, one group per expected column.
 HEADER_GROUPS = (
@@ -48,7 +48,7 @@ def read_sheet_rows(spark: SparkSession, paths: str | Sequence[str], width: int)
 
     Quoted cells may hold line breaks, so a file is read as a whole.  ``width``
     is the most cells a row may have: one with more stops the job, nothing is
-    cut off.
+    cut off.  ``file`` is a file's path below the folder that holds all of them: its name, if they lie in one folder.
     """
     names = [f"c{i}" for i in range(width)]
     raw = (
@@ -59,13 +59,15 @@ def read_sheet_rows(spark: SparkSession, paths: str | Sequence[str], width: int)
         .schema(", ".join(f"{n} string" for n in [*names, "_beyond"]) + ", _raw string")
         .csv(list(paths) if not isinstance(paths, str) else paths)
     )
-    # Rows of another length than the schema come with their text: shorter ones are usual.
-    many = F.length("_raw") - F.length(F.replace(F.col("_raw"), F.lit(","), F.lit(""))) > width
+    file = path_below(common_folder(raw.inputFiles()))
+    # Rows of another length than the schema come with their text: shorter ones are usual.  Commas in quoted cells don't count.
+    bare = F.regexp_replace("_raw", r'(^|,)"(?:[^"]|"")*"', "$1")
+    many = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) > width
     too_wide = F.col("_beyond").isNotNull() | F.coalesce(many, F.lit(False))
-    message = F.concat(F.lit(f"more than {width} cells in a row of "), file_name())
+    message = F.concat(F.lit(f"more than {width} cells in a row of "), file)
     cells = F.when(too_wide, F.raise_error(message).cast("array<string>")).otherwise(F.array(*names))
     seen = F.monotonically_increasing_id()
-    rows = raw.select(file_name().alias("file"), seen.alias("seen"), cells.alias("cells"))
+    rows = raw.select(file.alias("file"), seen.alias("seen"), cells.alias("cells"))
     first = F.min("seen").over(Window.partitionBy("file"))
     return rows.select("file", (F.col("seen") - first).cast("int").alias("row_idx"), "cells")
 

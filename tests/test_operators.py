@@ -277,16 +277,20 @@ def test_canonical_names_by_list_and_by_table(spark):
     table = spark.createDataFrame([(a, e, i) for i, (a, e) in enumerate(ALIASES)], "alias string, entity string, ord int")
     got = {r.raw: r.entity for r in names.canonicalize_by_table(df, "raw", table).collect()}
     assert got == cases
+    for some, shard in ((table.limit(0), 5), (table.union(table).unionByName(table.selectExpr("cast(null as string) alias", "entity", "ord")), 3)):
+        got = {r.raw: r.entity for r in names.canonicalize_by_table(df, "raw", some, shard=shard).collect()}
+        assert got == ({k: None for k in cases} if shard == 5 else cases)
 
 
-def test_alias_table_equals_brute_force(spark):
+@pytest.mark.parametrize("shard", [names.SHARD, 7, 1])
+def test_alias_table_equals_brute_force(spark, shard):
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("abc ") for _ in range(n)).strip() or "a"
     aliases = [(" ".join(word(rng.randint(1, 6)).split()), f"e{i}", i) for i in range(60)]
     texts = list({word(rng.randint(1, 40)) for _ in range(200)})
     df = spark.createDataFrame([(t,) for t in texts], "raw string")
     table = spark.createDataFrame(aliases, "alias string, entity string, ord int")
-    got = {r.raw: r.entity for r in names.canonicalize_by_table(df, "raw", table).collect()}
+    got = {r.raw: r.entity for r in names.canonicalize_by_table(df, "raw", table, shard=shard).collect()}
 
     def brute(raw):
         name = " ".join(raw.split())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelloom.operators import quality
 from panelloom.plans import climate_fill, hourly_export, level_fill, panel_build
 from panelloom.plans import fixed_values as fv
-from panelloom.sinks import write
+from panelloom.sinks import commit, write
 from panelloom.sources import files, payload, sheets
 
 
@@ -296,6 +296,90 @@ def test_sheet_rows_lose_nothing(spark, tmp_path):
         sheets.read_sheet_rows(spark, path, 4).collect()
 
 
+def test_quoted_commas_are_no_cells(spark, tmp_path):
+    path = f"{tmp_path}/sheet.csv"
+    with open(path, "w") as f:
+        f.write('"a,b,c,d,e",1\nx,"1,2\n3,4",y,z\n"say ""p,q,r,s"" now",2,3\n')
+    rows = sheets.read_sheet_rows(spark, path, 4).orderBy("row_idx").collect()
+    assert [[c for c in r.cells if c is not None] for r in rows] == [["a,b,c,d,e", "1"], ["x", "1,2\n3,4", "y", "z"], ['say "p,q,r,s" now', "2", "3"]]
+    with open(path, "w") as f:
+        f.write('"a,b",1,2,3,,x\n')
+    with pytest.raises(Exception, match="more than 4 cells"):
+        sheets.read_sheet_rows(spark, path, 4).collect()
+
+
+def test_files_are_known_by_their_path(spark, tmp_path):
+    head = ["Station_Name", "Lat", "Lon", "Year", "Month", "haut moy", "x"]
+    for folder in ("north", "south é+"):
+        (tmp_path / folder).mkdir()
+        write_csv(f"{tmp_path}/{folder}/Jiji.csv", [head, [folder, "1", "2", "2000", "1", "5", ""]])
+    rows = sheet(spark, [f"{tmp_path}/north/*.csv", f"{tmp_path}/south*/*.csv"])
+    assert sorted((r.file, r.row_idx, r.cells[0]) for r in rows.collect()) == [
+        ("north/Jiji.csv", 0, "Station_Name"), ("north/Jiji.csv", 1, "north"), ("south é+/Jiji.csv", 0, "Station_Name"), ("south é+/Jiji.csv", 1, "south é+"),
+    ]
+    assert sheets.detect_header(rows).count() == 2
+    with pytest.raises(Exception, match="more than one file for Jiji"):
+        panel_build.river_levels(rows)[0].collect()
+    assert {r.file for r in sheet(spark, f"{tmp_path}/north/*.csv").collect()} == {"Jiji.csv"}
+
+
+def test_headers_of_many_files_take_one_job(spark, tmp_path):
+    for i in range(30):
+        names = ["t", "x", "y"] if i % 3 else ["y", "t", "more", "x"]
+        write_csv(f"{tmp_path}/s_{i:02d} [a].csv", [names, *[[str(k) for k, _ in enumerate(names)]] * (i + 1)])
+    (tmp_path / "s_99.csv").write_text("")  # no line at all
+    sc = spark.sparkContext
+    sc.setJobGroup("headers", "headers")
+    got = files.read_series(spark, f"{tmp_path}/*.csv", key_regex="^s_(..)", key="s", schema="t int, x double, y double")
+    jobs = sc.statusTracker().getJobIdsForGroup("headers")
+    sc.setJobGroup("rest", "rest")
+    assert len(jobs) == 1
+    counts = {r.s: (r.n, r.t) for r in got.groupBy("s").agg(F.count("*").alias("n"), F.max("t").alias("t")).collect()}
+    assert counts == {f"{i:02d}": (i + 1, 0 if i % 3 else 1) for i in range(30)}
+
+
+def one_river(spark, river, levels):
+    rows = [(river, date(2000, m, 1), level) for m, level in enumerate(levels, 1)]
+    return spark.createDataFrame(rows, "river string, date date, water_level double")
+
+
+def everything(spark, out):
+    read = lambda path: sorted((r.river, str(r.date), float(r.water_level)) for r in spark.read.option("header", "true").csv(path).collect())
+    listed = spark.read.option("header", "true").csv(f"{out}/output_manifest")
+    return read(f"{out}/master_dataset_monthly"), read(f"{out}/per_river"), sorted((r.file, int(r.row_count)) for r in listed.collect())
+
+
+def test_a_job_that_dies_leaves_the_old_panel_whole(spark, tmp_path, monkeypatch):
+    out = f"{tmp_path}/published"
+    panel_build.publish(one_river(spark, "Jiji", [1.0, 2.0]), out)
+    panel_build.publish(one_river(spark, "Rusizi", [5.0]), out)  # Jiji's folder stays
+    before = everything(spark, out)
+    assert [r[0] for r in before[1]] == ["Jiji", "Jiji", "Rusizi"] and len(before[2]) == 3
+    with monkeypatch.context() as patch:  # dies between the two writes
+        patch.setattr(panel_build, "write_per_entity", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            panel_build.publish(one_river(spark, "Jiji", [9.0]), out)
+    assert everything(spark, out) == before and not (tmp_path / "published_unpublished").exists()
+    panel_build.publish(one_river(spark, "Jiji", [3.0]), out)
+    assert [r[2] for r in everything(spark, out)[1]] == [3.0, 5.0]
+
+
+@pytest.mark.parametrize("dies_at", [0, 1, 2])
+def test_a_job_that_dies_while_switching_is_finished(spark, tmp_path, monkeypatch, dies_at):
+    out = f"{tmp_path}/published"
+    both = lambda x: one_river(spark, "Jiji", [x]).union(one_river(spark, "Rusizi", [x]))
+    panel_build.publish(both(1.0), out)
+    calls, real = [], commit._move
+    with monkeypatch.context() as patch:
+        patch.setattr(commit, "_move", lambda *a: real(*a) if len(calls) != dies_at and not calls.append(a) else 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            panel_build.publish(both(2.0), out)
+    assert commit.recover(spark, out) and not commit.recover(spark, out)
+    combined, per_river, listed = everything(spark, out)
+    assert combined == per_river == [("Jiji", "2000-01-01", 2.0), ("Rusizi", "2000-01-01", 2.0)] and sum(n for _, n in listed) == 4
+    assert all((tmp_path / "published" / name).exists() for name, _ in listed)
+
+
 def test_two_files_of_one_river_stop_the_build(spark, tmp_path):
     head = ["Station_Name", "Lat", "Lon", "Year", "Month", "haut moy", "x"]
     for name in ("Jiji", "Jiji (2)"):
