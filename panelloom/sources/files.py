@@ -102,13 +102,14 @@ def read_series(
     exclude_regex: str | None = None,
     expect_files: int | None = None,
     fmt: str = "csv",
+    path: str | None = None,
 ) -> DataFrame:
     """Read every matching file in one scan and tag rows with their series id.
 
     ``key_regex`` has one group, matched on the file name; a file that does not
     match stops the job.  ``exclude_regex`` leaves out files by name, for
     instance results of an earlier run.  ``expect_files`` guards a source that
-    must be found exactly that often (without the excluded ones).
+    must be found exactly that often (without the excluded ones).  ``path`` names a column for each row's file.
 
     CSV columns are found by name: files may order them differently and have
     others besides; a missing one raises.  NaN becomes NULL.
@@ -143,6 +144,8 @@ def read_series(
         message = F.concat(F.lit("no series id in file name "), file_name())
         found = F.when(file_name().rlike(key_regex), found).otherwise(F.raise_error(message))
         wanted.insert(0, found.alias(key))
+    if path is not None:
+        wanted.append(F.col("_metadata.file_path").alias(path))
     return df.select(*wanted)
 
 

@@ -259,6 +259,39 @@ def test_hourly_export_and_extra_variables(spark, raw):
     assert "latitude" in merged.columns
 
 
+def test_a_second_run_reads_changed_files_only(spark, tmp_path):
+    """Months kept by a ledger equal those of a full run, whatever came, changed or went in between."""
+    from panelloom.plans import hourly_ledger
+
+    head = ["timestamp", "latitude", "longitude", "u10", "v10", "t2m", "tp", "d2m", "msl"]
+
+    def hours(name, month, n, shift=0.0):
+        start = datetime(2000, month, 27)
+        rows = [[(start + timedelta(hours=7 * i)).isoformat(sep=" "), -3, 29, i, "" if i % 4 else 2, 290 + shift + i, 0.001 * i, 280, 101300] for i in range(n)]
+        write_csv(f"{tmp_path}/in/era5_{name}_1940_x.csv", [head, *rows])
+
+    def check(*read, gone=0):
+        report = {}
+        got = hourly_ledger.refresh_months(spark, f"{tmp_path}/in/*.csv", f"{tmp_path}/state", report=report)
+        assert sorted(os.path.basename(f).split("_")[1] for f in report["read"]) == sorted(read) and report["gone"] == gone
+        full = panel_build.hourly_months(hourly_export.read_hourly(spark, f"{tmp_path}/in/*.csv", key="era5_grid"))
+        rows = lambda df: sorted((r.era5_grid, r.date, *(None if x is None else round(x, 9) for x in r[2:])) for r in df.select(full.columns).collect())
+        assert rows(got) == rows(full)
+
+    (tmp_path / "in").mkdir()
+    hours("a", 1, 40), hours("b", 2, 30)
+    check("a", "b")
+    check()
+    hours("c", 1, 5), hours("b", 2, 31, 0.5)
+    check("b", "c", gone=1)
+    os.remove(f"{tmp_path}/in/era5_a_1940_x.csv")
+    check(gone=1)
+    hours("a", 5, 3)
+    check("a")
+    check()
+    assert len(os.listdir(f"{tmp_path}/state/ledger")) == 2
+
+
 def test_rerun_ignores_earlier_results_and_guards_counts(spark, tmp_path):
     for name in ("jiji_monthly", "rusizi_monthly", "jiji_imputed_monthly"):
         write_csv(f"{tmp_path}/{name}.csv", [["date", "v"], ["2000-01-01", "1"]])
