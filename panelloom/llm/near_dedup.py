@@ -34,6 +34,8 @@ from .tokens import slices, words_of
 
 BANDS, ROWS, BITS, WORDS = 25, 5, 4, 5
 CHUNK = 512
+#: About how many bytes of shingle hashes a side of two chunks holds.
+SET_BYTES = 64_000_000
 #: Stands in for a null ``doc_id`` where the smallest is sought.
 GREATEST = 2**63 - 1
 
@@ -355,12 +357,17 @@ def _linked(work: Workspace, numbered: DataFrame, threshold: float) -> DataFrame
     families = families.unionByName(families.select(F.col("family").alias("node"), "family").distinct())
     # those of two were proposed whole; larger ones are open where more than one component meets
     placed = families.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m"))
+    placed = placed.join(nodes.select(F.col("row").alias("node"), (F.col("n") * 8).alias("bytes")), "node")
+    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
+    largest = F.max(F.struct("m", "bytes", "comp"))
     major = sizes.groupBy("family").agg(
-        F.max_by("comp", "m").alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("held"), (F.sum("m") - F.max("m")).alias("minors")
-    )
+        largest["comp"].alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("held"), (F.sum("m") - largest["m"]).alias("minors"),
+        F.sum("bytes").alias("held_bytes"), (F.sum("bytes") - largest["bytes"]).alias("minor_bytes"),
+    )
     wide = placed.join(major.where("kinds > 1 and held > 2"), "family")
-    wide = wide.withColumn("rows", F.ceil(F.col("minors") / CHUNK)).withColumn("columns", F.ceil(F.col("held") / CHUNK))
+    # members are dealt by their number and by the size of their sets
+    chunks = lambda n, size: F.ceil(F.greatest(F.col(n) / CHUNK, F.col(size) / SET_BYTES))
+    wide = wide.withColumn("rows", chunks("minors", "minor_bytes")).withColumn("columns", chunks("held", "held_bytes"))
     where, zero = F.xxhash64("node"), F.lit(0).cast("long")
     as_rows = wide.where(F.col("comp") != F.col("major")).select(
         "*", F.lit(0).alias("role"), F.pmod(where, "rows").alias("left"), F.explode(F.sequence(zero, F.col("columns") - 1)).alias("right")

@@ -90,6 +90,9 @@ def test_families_against_brute_force(docs_of, monkeypatch):
     assert got(nd.near_duplicates(docs_of(docs))) == want
     monkeypatch.setattr(nd, "CHUNK", 7)  # every bucket is split
     assert got(nd.near_duplicates(docs_of(docs))) == want
+    monkeypatch.setattr(nd, "CHUNK", 512)
+    monkeypatch.setattr(nd, "SET_BYTES", 20_000)  # about 17 documents
+    assert got(nd.near_duplicates(docs_of(docs))) == want
 
 
 def test_query(spark):
