@@ -47,8 +47,12 @@ def impute_bias_corrected(
 ) -> DataFrame:
     """Fill gaps with the model times the entity's ratio of means (1 when it has none).
 
-    Adds ``bias_factor``, ``<observed>_filled`` and ``<observed>_imputed``.
+    Adds ``bias_factor``, ``<observed>_filled`` and ``<observed>_imputed``.  A model column that does not exist fills nothing and
+    flags nothing, and there is no factor.
     """
+    if model not in df.columns:
+        nothing = {f"{observed}_filled": F.col(observed), f"{observed}_imputed": F.lit(False)}
+        return df.withColumns({"bias_factor": F.lit(None).cast("double"), **nothing})
     factors = bias_factor(df, key, observed, model, min_overlap)
     corrected = F.col(model) * F.coalesce("bias_factor", F.lit(1.0))
     return df.join(factors, key, "left").withColumns(

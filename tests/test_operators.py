@@ -406,6 +406,12 @@ def test_climatology_of_finer_grains(spark, grain, freq):
     assert [r.v_imputed for r in got] == pytest.approx(filled.tolist())
 
 
+def test_an_absent_model_fills_nothing(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None)], "k string, v double")
+    rows = impute.impute_bias_corrected(df, "k", "v", "model").orderBy("v").collect()
+    assert [(r.k, r.v, r.bias_factor, r.v_filled, r.v_imputed) for r in rows] == [("a", None, None, None, False), ("a", 1.0, None, 1.0, False)]
+
+
 def test_listed_entities_get_their_months(spark):
     df = spark.createDataFrame([("a", datetime(2000, 2, 3), 2, 1.0)], "k string, t timestamp_ntz, c int, w double")
     listed = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
