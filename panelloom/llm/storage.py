@@ -32,6 +32,18 @@ def scratch():
             work.close()
 
 
+@contextmanager
+def partly_dealt(spark: SparkSession):
+    """Joins run inside take tables where they lie if they are dealt by some of the join's columns."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Workspace:
     """A job's own folder of written tables.
 
@@ -55,12 +67,16 @@ class Workspace:
 
     def settle_by(self, df: DataFrame, name: str, column: str, codec: str = "zstd") -> DataFrame:
         """The same as a table dealt by ``column``: joins on it take these rows where they lie, without a shuffle."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = self.parts()
         self.tables[name] = table = f"{name}_{uuid.uuid4().hex}"
         to = df.write.format("parquet").option("compression", codec).option("path", f"{self.path}/{name}")
         to.bucketBy(n, column).sortBy(column).saveAsTable(table)
         return self.spark.table(table)
 
+    def parts(self) -> int:
+        """Into how many parts a table is dealt."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     def drop(self, name: str) -> None:
         """Remove a table of this job that nothing reads any more."""
         if name in self.tables:

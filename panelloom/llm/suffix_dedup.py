@@ -5,7 +5,7 @@ Every byte is removed that a string of ``SPAN`` bytes covers which also starts a
 1. Anchors.  Of the ``SPAN - GRAM + 1`` grams of ``GRAM`` bytes in a window of ``SPAN`` bytes, the one with the least hash is
    its anchor: equal windows have equal anchors.  Anchors are counted over all documents, combined within tasks first.
 2. Stretches.  Successive windows with one anchor form a stretch.  Only stretches whose anchor occurs more than once go on;
-   they meet their documents' text and become slices (the bytes of their windows).  Equal slices are combined.
+   they come to their documents' text, which stays where it was written, and become slices (the bytes of their windows).  Equal slices are combined.
 3. Shards.  Slices are dealt by anchor, so all windows that could be equal lie in one shard.  A shard of at most ``SHARD``
    bytes is one text; its suffix array comes from Larsson-Sadakane refinement (only groups not yet told apart are
    sorted again, by packed keys), common prefixes of neighbours from Kasai's theorem (a value is read off its predecessor
@@ -23,10 +23,10 @@ read once and written with their row ids; all later steps start from that table.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, partly_dealt
 from .tokens import bytes_of, slices
 
 SPAN, GRAM = 200, 32
@@ -397,16 +397,27 @@ def _cut(span: int):
     return run
 
 
-def covered(table: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(row, text) of the documents that may have repeats, and (row, cover): intervals of bytes to remove, as a and b.
+#: Parts that the rows of a task are dealt to.
+SPREAD = 4
 
-    ``table``: row and text, written before, so that ids stay with their rows.  Nothing reads it later."""
+
+def _deal(row: Column) -> Column:
+    """Part of a row id: the task that gave it (its upper bits), and one of ``SPREAD``."""
+    return F.shiftright(row, 33) * SPREAD + F.pmod(row, F.lit(SPREAD))
+
+
+def covered(table: DataFrame, work: Workspace) -> DataFrame:
+    """(deal, row, cover): intervals of bytes to remove, as a and b, of the documents that have any.
+
+    ``table``: deal, row and text, dealt by ``deal`` as it was written.  No text is shuffled: what is known of a row comes to it."""
     counts = table.select("text").mapInArrow(_count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("occurs"))
     counts = work.settle(counts.where("occurs > 1"), "anchors")
-    stretches = table.mapInArrow(_stretches, "row long, start long, n long, anchor long")
-    held = stretches.hint("merge").join(counts, "anchor").groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "occurs")).alias("held"))
-    # dealt by row once: the intervals come to the texts later, not the texts to the intervals
-    texts = work.settle_by(table.hint("merge").join(held, "row"), "texts", "row")
+    stretches = table.select("row", "text").mapInArrow(_stretches, "row long, start long, n long, anchor long")
+    held = stretches.hint("merge").join(counts, "anchor").withColumn("deal", _deal(F.col("row"))).repartition(work.parts(), "deal")
+    held = held.groupBy("deal", "row").agg(F.collect_list(F.struct("start", "n", "anchor", "occurs")).alias("held"))
+    held = work.settle_by(held, "held", "deal")
+    work.drop("anchors")
+    texts = table.join(held.hint("shuffle_hash"), ["deal", "row"]).select("row", "text", "held")
 
     slices = texts.mapInArrow(_slices(SPAN, True), "anchor long, digest binary, n long, occurs long, slice binary")
     parts = F.ceil(F.col("occurs") * SLICE / (SHARD // 2)).cast("int")
@@ -424,7 +435,12 @@ def covered(table: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     places = texts.mapInArrow(_slices(SPAN, False), "row long, start long, anchor long, digest binary")
     cover = places.hint("merge").join(windows, ["anchor", "digest"])
     cover = cover.select("row", F.explode(F.transform("w", lambda w: F.struct((F.col("start") + w["first"]).alias("a"), (F.col("start") + w["last"] - 1 + SPAN).alias("b")))).alias("c"))
-    return texts.select("row", "text"), cover.groupBy("row").agg(F.collect_list("c").alias("cover"))
+    cover = cover.withColumn("deal", _deal(F.col("row"))).repartition(work.parts(), "deal")
+    cover = cover.groupBy("deal", "row").agg(F.collect_list("c").alias("cover"))
+    cover = work.settle_by(cover, "cover", "deal")
+    work.drop("found")
+    work.drop("held")
+    return cover
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -432,14 +448,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     work = Workspace(docs.sparkSession, "suffix-dedup")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    table = work.settle(table, "table")
+    table = work.settle_by(table.withColumn("deal", _deal(F.col("row"))), "table", "deal")
+    with partly_dealt(docs.sparkSession):
+        cover = covered(table.select("deal", "row", "text"), work)
+        cut = table.select("deal", "row", "text").join(cover.hint("shuffle_hash"), ["deal", "row"])
+        cut = work.settle(cut.select("row", "text", "cover").mapInArrow(_cut(SPAN), "row long, n_removed long, n_spans long, kept string"), "cut")
+    work.drop("cover")
     rows = table.select(
         "row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"),
     )
-    rows = work.settle(rows, "rows")
-    texts, cover = covered(table.select("row", "text"), work)
-    work.drop("table")
-    cut = texts.hint("merge").join(cover, "row").mapInArrow(_cut(SPAN), "row long, n_removed long, n_spans long, kept string")
     zero = F.lit(0).cast("long")
     return rows.join(cut, "row", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
