@@ -147,6 +147,20 @@ def panel_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return panel_build.coverage_report(*_panel(spark, sf))
 
 
+@query(f"""
+WITH {_PANEL},
+spans AS (SELECT river, min(date) AS first_date, max(date) AS last_date, count(*) AS n_total,
+                 count(*) - count(water_level) AS n_missing FROM panel GROUP BY ALL),
+dated AS (SELECT CAST(supplier AS VARCHAR) AS river, count(*) AS n_dated FROM thin GROUP BY ALL)
+SELECT s.river, s.first_date, s.last_date, s.n_total, s.n_missing, n_dated FROM spans s LEFT JOIN dated d ON d.river = s.river
+""")
+def panel_coverage_dated(spark: SparkSession, sf: str) -> DataFrame:
+    """Dated rows beside the rows of the calendar."""
+    dated = tb.thin_levels(spark, sf).select(F.col("supplier").cast("string").alias("river"))
+    report = panel_build.coverage_report(*_panel(spark, sf), dated)
+    return report.select("river", "first_date", "last_date", "n_total", "n_missing", "n_dated")
+
+
 _FILLED = f"""{_PANEL},
 factors AS (
   SELECT river, CASE WHEN count(*) FILTER (WHERE precip_observed IS NOT NULL AND era5_tp_sum IS NOT NULL) >= 12

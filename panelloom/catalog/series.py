@@ -288,6 +288,38 @@ def climatology_fill(spark: SparkSession, sf: str) -> DataFrame:
     return impute.impute_climatology(tb.dense_thin(spark, sf), "supplier", "month", "level")
 
 
+@query(f"""
+WITH {tb.LINES}, days AS (
+  SELECT s_nationkey AS nation, CAST(shipdate AS DATE) AS day, CAST(sum(CASE WHEN flag = 'R' AND line = 1 THEN cents END) AS DOUBLE) AS level
+  FROM lines JOIN supplier ON s_suppkey = supplier GROUP BY ALL),
+dense AS (
+  SELECT c.nation, c.day, d.level
+  FROM (SELECT nation, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day
+        FROM (SELECT nation, min(day) AS lo, max(day) AS hi FROM days GROUP BY nation)) c
+  LEFT JOIN days d ON d.nation = c.nation AND d.day = c.day),
+season AS (SELECT nation, date_part('month', day) AS cm, avg(level) AS mean FROM dense GROUP BY ALL),
+based AS (
+  SELECT d.nation, d.day, d.level, date_diff('day', DATE '1970-01-01', d.day) AS i, coalesce(d.level, s.mean) AS base
+  FROM dense d LEFT JOIN season s ON s.nation = d.nation AND s.cm = date_part('month', d.day)),
+ends AS (
+  SELECT *, last_value(base IGNORE NULLS) OVER back AS pv, last_value(CASE WHEN base IS NOT NULL THEN i END IGNORE NULLS) OVER back AS pi,
+         first_value(base IGNORE NULLS) OVER ahead AS nv, first_value(CASE WHEN base IS NOT NULL THEN i END IGNORE NULLS) OVER ahead AS ni
+  FROM based
+  WINDOW back AS (PARTITION BY nation ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         ahead AS (PARTITION BY nation ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT nation, day, level, coalesce(base, CASE WHEN ni IS NULL THEN pv END,
+       pv + (nv - pv) * (CAST(i - pi AS DOUBLE) / CAST(ni - pi AS DOUBLE))) AS level_imputed
+FROM ends WHERE nation IN (SELECT nation FROM dense WHERE level IS NULL)
+""")
+def climatology_fill_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by day: neighbours are a day apart, seasons stay calendar months."""
+    returned = F.when((F.col("flag") == "R") & (F.col("line") == 1), F.col("cents"))
+    lines = tb.lines(spark, sf).join(tb.homes(spark, sf), "supplier").withColumn("day", F.col("shipdate").cast("date"))
+    days = lines.groupBy("nation", "day").agg(F.sum(returned).cast("double").alias("level"))
+    dense = calendar.densify(days, ["nation"], "day", grain="day", rolled_up=True)
+    return impute.impute_climatology(dense, "nation", "day", "level", grain="day")
+
+
 @query(f"""
 WITH {_FULL_FILL}
 SELECT supplier, month, level, filled AS level_imputed FROM done

@@ -200,16 +200,16 @@ def assemble(
     row each and joined once; the readings then meet on keys unique on the right.
     """
     sources = rivers.select("river", F.col("cell").alias("era5_grid"))
-    for label, (_, stations) in (("temp", temperature), ("precip", precipitation)):
+    # stations that serve both are searched once
+    searches = [(temperature[1], ["temp"]), (precipitation[1], ["precip"])]
+    if temperature[1] is precipitation[1]:
+        searches = [(temperature[1], ["temp", "precip"])]
+    for stations, labels in searches:
         choices = nearest_join(rivers, stations, "river", "station_key", name="station_name_raw")
-        named = choices.join(stations.select("station_key", "station_name_raw"), "station_key").select(
-            "river",
-            F.col("station_key").alias(f"_{label}_station"),
-            F.col("station_name_raw").alias(f"{label}_source"),
-            F.col("distance_deg").alias(f"{label}_distance_deg"),
-            F.col("selection_mode").alias(f"{label}_mode"),
-        )
-        sources = sources.join(named, "river", "left")
+        named = choices.join(stations.select("station_key", "station_name_raw"), "station_key")
+        kinds = {"station": "station_key", "source": "station_name_raw", "distance_deg": "distance_deg", "mode": "selection_mode"}
+        columns = [F.col(c).alias(f"_{label}_station" if k == "station" else f"{label}_{k}") for label in labels for k, c in kinds.items()]
+        sources = sources.join(named.select("river", *columns), "river", "left")
 
     panel = with_year_month(densify(levels, ["river"], "date", rolled_up=True), "date")
     panel = attach(panel, runoff.select("river", "date", "runoff"), ["river", "date"])
