@@ -132,7 +132,8 @@ def nearest_join(
     )
     place = ["g", "elat", "elon"]
     pages = station_pages(right)
-    boxes = pages.groupBy("g").agg(F.collect_list(F.struct("page", "lat0", "lat1", "lon0", "lon1")).alias("boxes"))
+    # mentioning the leaves lets Spark take the boxes from the same shuffle
+    boxes = pages.where(F.size("leaves") > 0).groupBy("g").agg(F.collect_list(F.struct("page", "lat0", "lat1", "lon0", "lon1")).alias("boxes"))
     lat, lon = F.col("elat"), F.col("elon")
     asked = left.select(*place).distinct().join(boxes, "g").select(*place, F.explode(_near("boxes", lat, lon)["page"]).alias("page"))
 
