@@ -90,7 +90,14 @@ _FOLD = r"trim(regexp_replace(regexp_replace({}, '[\t\r\f\x0B ]+', ' ', 'g'), '
 def _decode_sql(text: str) -> str:
     for name, sign in warc.ENTITIES.items():
         text = "replace({}, '{}', '{}')".format(text, name, sign.replace("'", "''"))
-    return text
+    # References by number, the ampersand's among them, in one step.
+    parts, found = f"regexp_split_to_array(t, '{warc.NUMERIC}')", f"regexp_extract_all(t, '{warc.NUMERIC}')"
+    number = "CASE WHEN lower(e[3]) = 'x' THEN CAST('0x' || e[4:-2] AS BIGINT) ELSE CAST(e[3:-2] AS BIGINT) END"
+    sign = f"""CASE WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111
+      THEN translate(chr(CAST(n AS INTEGER)), '{warc.OLD_FROM}', '{warc.OLD_TO}') ELSE chr(65533) END"""
+    signs = f"list_transform(list_transform({found}, lambda e: {number}), lambda n: {sign})"
+    joined = f"list_aggregate(list_transform(list_zip({parts}, {signs}), lambda z: z[1] || coalesce(z[2], '')), 'string_agg', '')"
+    return f"list_transform([replace({text}, '&amp;', '&#38;')], lambda t: {joined})[1]"
 
 
 def _uuid_sql(parts: str) -> str:

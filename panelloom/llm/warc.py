@@ -5,9 +5,11 @@ and digests; every derived block has a digest of its own.  Only column expressio
 shuffle.  Records are whole WARC/1.1 text, so ``write`` lays them out as files that any reader of the format takes.
 
 Plain text: comments and script, style, noscript, template and head elements (but not the title, which the metadata has)
-go; tags of blocks end a line, others vanish; the named entities below become characters; white space is folded.
+go; tags of blocks end a line, others vanish; the named entities below and all numeric ones become characters (U+FFFD
+where a number has none); white space is folded.
 
-Null html is an empty payload.  A null URI leaves its header out.  Identifiers follow from the response's, so repeated
+Null html is an empty payload.  A null URI leaves its header out; line ends in a URI are written percent-encoded, those in
+other header values as blanks, so no value can add a header.  Identifiers follow from the response's, so repeated
 rows give repeated records.  An empty table gives no rows.  Other columns are not looked at.
 """
 
@@ -26,17 +28,47 @@ _TAG = r"</?[A-Za-z!?][^>]*>"
 _TITLE = r"(?is)<title(?:[\s/][^>]*)?>(.*?)</title\s*>"
 _LANG = r"(?i)<html[^>]*\slang=[\"']([A-Za-z0-9-]+)"
 _LINK = r"(?i)<a\s[^>]*href=\"([^\"]*)\""
-#: Fixed values of the format: named entities.  The last one, so that none is decoded twice, is the ampersand.
+#: Fixed values of the format: named entities, but for the ampersand's.
 ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&copy;": "©", "&reg;": "®",
-    "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&amp;": "&",
+    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®",
+    "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—",
 }
+#: References by number, decimal or hexadecimal.
+NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+#: Numbers 128 to 159 mean the characters of windows-1252, as in HTML; the unbroken blank (160) is a blank.
+_OLD = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+OLD_FROM, OLD_TO = "".join(map(chr, _OLD)) + "\xa0", bytes(_OLD).decode("cp1252") + " "
+UNKNOWN = "\ufffd"
+
+
+def _sign(reference: Column) -> Column:
+    """The character of a reference by number; U+FFFD where there is none."""
+    digits = F.regexp_replace(reference, "[&#;xX]", "")
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    # Decoding would take U+FEFF for a byte order mark.
+    sign = F.when(code == 0xFEFF, F.lit("\ufeff")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.when(known, F.translate(sign, OLD_FROM, OLD_TO)).otherwise(F.lit(UNKNOWN))
+
+
+def _numbered(text: Column) -> Column:
+    signs = F.transform(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0)), _sign)
+    between = F.split(text, NUMERIC, -1)
+    return F.array_join(F.zip_with(between, signs, lambda part, sign: F.concat(part, F.coalesce(sign, F.lit("")))), "")
 
 
 def _decoded(text: Column) -> Column:
+    """Entities to characters, none of them twice: what an ampersand's reference leaves is not looked at again."""
     for name, sign in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+
+    def rest(t: Column) -> Column:
+        amp = F.lit("&amp;")
+        numbered = _numbered(F.replace(t, amp, F.lit("&#38;")))
+        return F.when(F.contains(t, F.lit("&#")), numbered).otherwise(F.replace(t, amp, F.lit("&")))
+
+    # An array of one, so that the text is made once for all its uses.
+    return F.transform(F.array(text), rest)[0]
 
 
 def _folded(text: Column) -> Column:
@@ -123,19 +155,23 @@ def derive(found: DataFrame) -> DataFrame:
 
 def record(row_block: str = "block") -> Column:
     """The whole record of a derived row, without the two line ends after it."""
-    c = F.col
+
+    def c(name: str) -> Column:
+        return F.regexp_replace(F.col(name).cast("string"), r"[\r\n]+", " ")
+
+    uri = F.replace(F.replace(F.col("target_uri"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     header = F.array(
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), c("warc_type")),
         F.concat(F.lit("WARC-Record-ID: "), c("record_id")),
         F.concat(F.lit("WARC-Refers-To: "), c("refers_to")),
-        F.concat(F.lit("WARC-Target-URI: "), c("target_uri")),
+        F.concat(F.lit("WARC-Target-URI: "), uri),
         F.concat(F.lit("WARC-Date: "), c("warc_date")),
         F.concat(F.lit("WARC-Block-Digest: "), c("block_digest")),
         F.concat(F.lit("Content-Type: "), c("content_type")),
-        F.concat(F.lit("Content-Length: "), c("content_length").cast("string")),
+        F.concat(F.lit("Content-Length: "), c("content_length")),
     )
-    return F.concat(F.array_join(header, CRLF), F.lit(CRLF * 2), c(row_block))
+    return F.concat(F.array_join(header, CRLF), F.lit(CRLF * 2), F.col(row_block))
 
 
 def write(derived: DataFrame, path: str) -> None:

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import html
 import pathlib
 
+import duckdb
 from compare import difference, duck
 from panelloom.llm import warc
 from panelloom.llm.queries import ORACLES, QUERIES
@@ -45,6 +47,47 @@ def test_hard_rows(spark):
     assert warc.derive(warc.responses(pages(spark, []))).collect() == []
 
 
+NUMBERED = (
+    "&#233;|&#xE9;|&#XE9;|&#0233;|&#39;|&#38;|&#38;lt;|&#38;amp;|&amp;#233;|&amp;amp;#38;|&#x26;#233;|&#128;x|&#150;|&#x9f;|"
+    "&#65279;x|&#x1F600;|&#0;|&#xD800;|&#x110000;|&#9999999;|&lt;&#60;&#x3C;|&#;|&#x;|&# 1;|&#x26;|a&#98;c&#100;|&#66;&#67;"
+)
+
+
+def test_numeric_entities(spark, tmp_path):
+    """As the standard library takes them (it also knows more names and references without a semicolon)."""
+    cases = NUMBERED.split("|")
+    rows = [(i, "u", f"<head><title>{x}</title></head><a href=\"{x}\">y{x}</a>") for i, x in enumerate(cases)]
+    whole = (len(rows), "u", "<p>" + NUMBERED + "</p><p>a&<b>#98;c</p>")
+    df = pages(spark, [*rows, whole]).select("page_id", "url", "html")
+    got = warc.derive(warc.responses(df)).where("warc_type = 'conversion'").orderBy("page_id").collect()
+    assert [r.block for r in got[:-1]] == ["y" + html.unescape(x) for x in cases]
+    assert got[-1].block == html.unescape(NUMBERED) + "\nabc"
+    fields = warc.derive(warc.responses(df)).where("warc_type = 'metadata'").orderBy("page_id").collect()
+    for x, r in zip(cases, fields):
+        assert f"title: {html.unescape(x)}\r\n" in r.block and f"outlink: {html.unescape(x)}\r\n" in r.block
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    _, message = difference(QUERIES["op8_warc"](spark, str(tmp_path)), con, ORACLES["op8_warc"])
+    assert message is None, message
+
+
+def test_an_unbroken_blank_is_a_blank(spark):
+    (text,) = warc.derive(warc.responses(pages(spark, [(1, "u", "a&#160;&#xA0;&nbsp;b&#10;&#13;c")]))).where("warc_type = 'conversion'").collect()
+    assert text.block == "a b\nc"
+
+
+def test_no_value_adds_a_header(spark):
+    rows = [(1, "http://a/\r\nWARC-Type: response\n\nx", "<title>a&#13;&#10;b: c</title><a href=\"x&#10;y: z\">t</a>")]
+    derived = warc.derive(warc.responses(pages(spark, rows)))
+    for r in derived.select(warc.record().alias("whole"), "block", "warc_type").collect():
+        head, block = r.whole.split("\r\n\r\n", 1)
+        assert block == r.block and len(head.split("\r\n")) == 9 and len(head.splitlines()) == 9
+        assert "WARC-Target-URI: http://a/%0D%0AWARC-Type: response%0A%0Ax" in head
+        if r.warc_type == "metadata":
+            assert block.splitlines()[-3:] == ["title: a b: c", "language: ", "outlink: x y: z"]
+
+
 def test_files_can_be_read_record_by_record(spark, tmp_path):
     derived = warc.derive(warc.responses(pages(spark, [(1, "http://a/", PAGE), (2, None, None)])))
     warc.write(derived.coalesce(1), str(tmp_path / "out"))
