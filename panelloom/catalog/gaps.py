@@ -186,6 +186,63 @@ def monthly_index(spark: SparkSession, sf: str) -> DataFrame:
     return reduce.monthly_index(samples(spark, sf), "entity", "image_ts", "raw", _RANGE, scale=0.01)
 
 
+def order_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Finished orders as samples of their customers, some of whom have none."""
+    code = F.when(F.col("o_orderpriority").startswith("1"), 2).when(F.col("o_orderpriority").startswith("5"), 0).otherwise(1)
+    return (
+        table(spark, sf, "orders")
+        .where(F.col("o_orderstatus") == "F")
+        .select(
+            F.col("o_custkey").alias("entity"),
+            F.col("o_orderdate").alias("image_ts"),
+            code.alias("class"),
+            F.col("o_totalprice").cast("decimal(12,2)").alias("weight"),
+            tb.cents("o_totalprice").alias("raw"),
+        )
+    )
+
+
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"))
+
+
+_ORDER_SAMPLES = """samples AS (
+  SELECT o_custkey AS entity, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+         CASE left(o_orderpriority, 1) WHEN '1' THEN 2 WHEN '5' THEN 0 ELSE 1 END AS class,
+         CAST(o_totalprice AS DECIMAL(12,2)) AS weight, CAST(round(o_totalprice * 100) AS BIGINT) AS raw
+  FROM orders WHERE o_orderstatus = 'F'),
+cal AS (SELECT entity, CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS DATE) AS month
+        FROM (SELECT c_custkey AS entity FROM customer UNION SELECT entity FROM samples))"""
+_ORDER_RANGE = ("1995-01-01", "2001-08-01")
+
+
+@query(f"""
+WITH {_ORDER_SAMPLES},
+sums AS (SELECT entity, month, coalesce(sum(CASE WHEN class = 2 THEN weight END), 0) AS wet,
+                coalesce(sum(CASE WHEN class >= 1 THEN weight END), 0) AS valid FROM samples GROUP BY ALL)
+SELECT c.entity, {_YM},
+       CASE WHEN valid > 0 THEN round(CAST(wet AS DOUBLE) / CAST(valid AS DOUBLE), 6) END AS water_fraction,
+       CAST(trunc(coalesce(wet, 0)) AS BIGINT) AS water_pixels, CAST(trunc(coalesce(valid, 0)) AS BIGINT) AS total_pixels
+FROM cal c LEFT JOIN sums s ON s.entity = c.entity AND s.month = c.month
+""")
+def class_fraction_listed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer gets all months, those without any finished order too."""
+    return reduce.class_fraction(
+        order_samples(spark, sf), "entity", "image_ts", "class", "weight", _ORDER_RANGE, _customers(spark, sf)
+    )
+
+
+@query(f"""
+WITH {_ORDER_SAMPLES}, means AS (SELECT entity, month, avg(raw) AS raw FROM samples GROUP BY ALL)
+SELECT c.entity, {_YM}, round(raw * 0.01::DOUBLE, 6) AS ndvi
+FROM cal c LEFT JOIN means m ON m.entity = c.entity AND m.month = c.month
+""")
+def monthly_index_listed(spark: SparkSession, sf: str) -> DataFrame:
+    return reduce.monthly_index(
+        order_samples(spark, sf), "entity", "image_ts", "raw", _ORDER_RANGE, scale=0.01, entities=_customers(spark, sf)
+    )
+
+
 # ---- features ---------------------------------------------------------------
 
 
