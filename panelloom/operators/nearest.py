@@ -40,7 +40,8 @@ def _most(box: Column, lat: Column, lon: Column) -> Column:
 def _near(boxes: Column | str, lat: Column, lon: Column) -> Column:
     """The boxes that may hold the nearest station."""
     bound = F.array_min(F.transform(boxes, lambda x: _most(x, lat, lon))) * (1 + 1e-9) + 1e-300
-    return F.filter(boxes, lambda x: _least(x, lat, lon) <= bound)
+    # the bound is a variable of its own: within the filter it would be worked out once more for each box
+    return F.transform(F.array(bound), lambda b: F.filter(boxes, lambda x: _least(x, lat, lon) <= b))[0]
 
 
 def _box() -> list[Column]:

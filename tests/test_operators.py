@@ -350,6 +350,13 @@ def test_nearest_in_all_quadrants(spark, monkeypatch, page, leaf, towns):
     assert got == brute_nearest(entities, stations)
 
 
+def test_nearest_bound_is_not_worked_out_for_each_box(spark):
+    box = F.struct(*(F.col("id").cast("double").alias(c) for c in ("lat0", "lat1", "lon0", "lon1")))
+    found = spark.range(1).select(F.array(box, box).alias("boxes"), F.rand().alias("x")).select(nearest._near("boxes", F.col("x"), F.col("x")).alias("found"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min" in plan and "array_min" not in plan.split("filter(", 1)[1].split(chr(10))[0]
+
+
 def test_nearest_across_the_equator_is_no_cross_join(spark):
     """300 entities north, 300 stations south: pages met, not pairs."""
     rng = random.Random(2)
