@@ -538,3 +538,38 @@ def test_results_do_not_depend_on_partitioning(spark):
     one = gaps.gap_rows(dense(df.coalesce(1)), "k", "t", "v")
     many = gaps.gap_rows(dense(df.repartition(13)), "k", "t", "v")
     assert quality.check_subset(one, many).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+@pytest.mark.parametrize("bounds", [None, ("2020-02-01", "2020-11-30")])
+def test_densify_brings_gaps_with_rows(spark, monkeypatch, block, bounds):
+    """Rows repeated, off the grain, without a time or a key, outside the bounds; blocks without a row."""
+    from panelloom.operators import calendar
+
+    monkeypatch.setattr(calendar, "CALENDAR_BLOCK", block)
+    day = date
+    rows = [("a", day(2020, 1, 1), 1), ("a", day(2020, 3, 1), 2), ("a", day(2020, 3, 1), 3), ("a", day(2020, 12, 1), None), ("a", day(2020, 5, 7), 4)]
+    rows += [("b", day(2020, 6, 1), 5), ("b", None, 6), (None, day(2020, 7, 1), 7), ("c", day(2021, 1, 1), 8), ("d", day(2020, 4, 1), 9), ("d", day(2020, 4, 1), 9)]
+    df = spark.createDataFrame(rows, "k string, t date, v int")
+    got = sorted(((r.k, r.t, r.v) for r in calendar.densify(df, ["k"], "t", bounds=bounds).collect()), key=str)
+    want = []
+    for k in "abcd":
+        mine = [(t, v) for x, t, v in rows if x == k and t]
+        months = [(t.year, t.month) for t, _ in mine] if bounds is None else [(2020, 2), (2020, 11)]
+        (y, m), last = min(months), max(months)
+        while (y, m) <= last:
+            found = [v for t, v in mine if t == day(y, m, 1)] or [None]
+            want += [(k, day(y, m, 1), v) for v in found]
+            y, m = (y, m + 1) if m < 12 else (y + 1, 1)
+    assert got == sorted(want, key=str)
+
+
+def test_a_calendar_is_not_shuffled(spark):
+    """Ten thousand hours of a series with two readings: two rows and a few blocks reach the join."""
+    df = spark.createDataFrame([("a", 0), ("a", 9_999)], "k string, h int").selectExpr("k", "timestamp_ntz '2020-01-01 00:00:00' + make_dt_interval(0, h) AS t", "h")
+    from panelloom.operators import calendar
+
+    dense = calendar.densify(df, ["k"], "t", grain="hour")
+    plan = dense._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(sequence") < plan.index("Window") < plan.index("Join")
+    assert dense.count() == 10_000 and dense.where("h IS NOT NULL").count() == 2
