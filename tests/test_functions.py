@@ -97,3 +97,17 @@ def test_nan_and_units(spark):
     assert row[0].t == 300.0 - 273.15 and row[1].t is None
     assert [r[0] for r in df.select(numbers.nan_to_null("x")).collect()] == [None, 1.0]
     assert df.select(numbers.scale_round("t", 0.0001)).first()[0] == 0.03
+
+
+def test_rounded_equals_round(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    whole = rng.integers(-(10**9), 10**9, 20_000)
+    values = [*rng.uniform(-1, 1, 50_000), *(whole / 1e9), *((whole + 0.5) / 1e9), *np.nextafter((whole + 0.5) / 1e9, 2), *np.nextafter((whole + 0.5) / 1e9, -2)]
+    values += [0.0, -0.0, 1.0, -1.0, 1e-12, -1e-12, 5e-10, -5e-10, 4.9999999999e-10, 0.1 + 0.2, 1e300, -123456789.123456789, 2.5, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "x double")
+    for digits in (9, 3, 0):
+        rows = df.select(F.round("x", digits).alias("want"), numbers.rounded(F.col("x"), digits).alias("got")).collect()
+        assert [repr(r.got) for r in rows] == [repr(r.want) for r in rows]
+    assert spark.createDataFrame([(float("nan"),)], "x double").select(numbers.rounded(F.col("x"), 9)).collect()[0][0] != 0
