@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 import sys
@@ -32,11 +31,14 @@ def _byte_letters() -> dict[int, int]:
 BYTE_LETTERS = _byte_letters()
 
 
-@functools.cache
 def broken_letters() -> str:
-    """Letters whose normal form in lower case (NFC) ends in a mark that is no letter."""
-    letters = (chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L")
-    return "".join(x for x in letters if not unicodedata.category(unicodedata.normalize("NFC", x).lower()[-1]).startswith("L"))
+    """Letters whose normal form in lower case (NFC) ends in a mark that is no letter; found once for each Python worker."""
+    kept = vars(sys)  # a cached function would travel by its name alone
+    if "_panelloom_broken_letters" not in kept:
+        letters = (chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L")
+        broken = (x for x in letters if not unicodedata.category(unicodedata.normalize("NFC", x).lower()[-1]).startswith("L"))
+        kept["_panelloom_broken_letters"] = "".join(broken)
+    return kept["_panelloom_broken_letters"]
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
